@@ -71,7 +71,7 @@ def circular_bits(words: Column, start: Column | int, length: int) -> Column:
     start = start if isinstance(start, Column) else F.lit(start)
     start = start % HASH_BITS
     offset = start % 64
-    word = F.floor(start / 64).cast("int")
+    word = F.shiftright(start, 6)
     first = F.get(words, word)
     second = F.get(words, (word + 1) % 4)
     head = F.call_function("shiftrightunsigned", first, offset)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from itemlab.config import DEFAULTS
 
@@ -21,28 +22,28 @@ def attach(
     `groups` holds `key`, its row count `size` and the facts. A group of at least `hot_rows`
     rows would send all of them to one task, so such groups are broadcast instead: there are at
     most (number of rows / hot_rows) of them, so that side stays small for any input. Their
-    rows leave the key out of the shuffle join and are spread by `row_id`.
+    rows leave the key out of the shuffle join and are spread by `row_id`. Keys are strings or
+    numbers from 0 on; rows with a NULL key get NULL facts.
     """
     facts = [c for c in groups.columns if c != key]
-    packed = groups.select(F.col(key).cast("string").alias("_key"), F.struct(*facts).alias("_f"))
+    packed = groups.select(F.col(key).alias("_key"), F.struct(*facts).alias("_f"))
     hot = packed.where(F.col(f"_f.{size}") >= hot_rows)
     cold = packed.where(F.col(f"_f.{size}") < hot_rows)
 
-    own = F.col(key).cast("string")
-    first = rows.withColumn("_own", own).join(
+    # Stand-in keys for rows that must not meet a cold group: they match nothing.
+    if isinstance(rows.schema[key].dataType, T.StringType):
+        nowhere = F.concat(F.lit("#"), F.col(row_id).cast("string"))
+    else:
+        nowhere = -1 - F.xxhash64(row_id).bitwiseAND(F.lit((1 << 62) - 1))
+
+    first = rows.withColumn("_own", F.col(key)).join(
         F.broadcast(hot.select(F.col("_key").alias("_own"), F.col("_f").alias("_hot"))),
         "_own",
         "left",
     )
-    # A row without a key, or of a hot group, must not meet the cold groups: spread it by id.
-    spread_key = F.concat(F.lit("#"), F.col(row_id).cast("string"))
+    keeps_key = F.col("_hot").isNull() & F.col("_own").isNotNull()
     second = (
-        first.withColumn(
-            "_key",
-            F.when(F.col("_hot").isNull() & F.col("_own").isNotNull(), F.col("_own")).otherwise(
-                spread_key
-            ),
-        )
+        first.withColumn("_key", F.when(keeps_key, F.col("_own")).otherwise(nowhere))
         .join(cold, "_key", "left")
         .withColumn("_facts", F.coalesce("_hot", "_f"))
     )

@@ -17,11 +17,10 @@ def with_views(body: str, *views: str) -> str:
         add(name)
     head = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in needed)
     text = body.strip()
-    if text.upper().startswith("WITH RECURSIVE"):
-        return f"WITH RECURSIVE {head},\n{text[len('WITH RECURSIVE'):]}"
+    start = "WITH RECURSIVE" if "reach" in needed else "WITH"
     if text.upper().startswith("WITH"):
-        return f"WITH {head},\n{text[len('WITH'):]}"
-    return f"WITH {head}\n{text}"
+        return f"{start} {head},\n{text[len('WITH'):]}"
+    return f"{start} {head}\n{text}"
 
 
 def rates(prefix: str = "") -> str:
@@ -121,20 +120,47 @@ VIEWS = {
     coalesce(bit_or((1::UBIGINT) << (bit % 64)) FILTER (bit // 64 = 3), 0::UBIGINT) AS u3
   FROM set_bits GROUP BY doc_id
 """,
-    "hashes": f"""
-  SELECT d.doc_id AS id, d.lang AS cls, {split_of('d.doc_id')} AS split, md5(d.text) AS md5,
-    h.u0, h.u1, h.u2, h.u3
-  FROM documents d LEFT JOIN hash_words h USING (doc_id)
+    "hashed": """
+  SELECT i.*, h.u0, h.u1, h.u2, h.u3 FROM items i LEFT JOIN hash_words h ON h.doc_id = i.id
+""",
+    "nodes": """
+  SELECT min(id) AS node, count(*) AS copies, u0, u1, u2, u3
+  FROM hashed WHERE u0 IS NOT NULL GROUP BY u0, u1, u2, u3
 """,
 }
 
-NEEDS = {
-    "set_bits": ("bucket_counts",),
-    "hash_words": ("set_bits",),
-    "hashes": ("hash_words",),
-}
 
 
 def differing(a: str, b: str) -> str:
     """Hamming distance between the hash words of two aliased tables."""
-    return " + ".join(f"bit_count(xor({a}.u{i}, {b}.u{i}))" for i in range(4))
+    return "(" + " + ".join(f"bit_count(xor({a}.u{i}, {b}.u{i}))" for i in range(4)) + ")"
+
+
+VIEWS["pairs"] = f"""
+  SELECT a.node AS id_a, b.node AS id_b, CAST({differing('a', 'b')} AS INTEGER) AS bits,
+    a.copies AS copies_a, b.copies AS copies_b
+  FROM nodes a JOIN nodes b ON a.node < b.node WHERE {differing('a', 'b')} <= 25
+"""
+# The groups of near copies, from all node pairs; closed only together with WITH RECURSIVE.
+VIEWS["reach"] = """
+  SELECT node AS root, node FROM nodes
+  UNION
+  SELECT r.root, CASE WHEN p.id_a = r.node THEN p.id_b ELSE p.id_a END
+  FROM reach r JOIN pairs p ON r.node = p.id_a OR r.node = p.id_b
+"""
+VIEWS["grouped"] = """
+  SELECT h.*, g.component, count(*) OVER (PARTITION BY g.component) AS members
+  FROM hashed h
+  LEFT JOIN nodes n USING (u0, u1, u2, u3)
+  LEFT JOIN (SELECT node, min(root) AS component FROM reach GROUP BY node) g ON g.node = n.node
+"""
+
+NEEDS = {
+    "set_bits": ("bucket_counts",),
+    "hash_words": ("set_bits",),
+    "hashed": ("items", "hash_words"),
+    "nodes": ("hashed",),
+    "pairs": ("nodes",),
+    "reach": ("pairs",),
+    "grouped": ("reach",),
+}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from itemlab.functions.hashing import (
     word_histogram,
 )
 from itemlab.functions.scalars import has_extension
-from itemlab.plans.staging import spread
+from itemlab.plans.staging import spread, stage
 
 TEXT_EXTENSIONS = (".txt",)
 
@@ -39,6 +41,7 @@ def items_from_table(
     text: str,
     folder: str,
     min_chars: int = 20,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """The item record of a text table: one row per item with the columns the audits read.
 
@@ -68,6 +71,7 @@ def items_from_table(
         mode.alias("mode"),
         has_extension(name, TEXT_EXTENSIONS).alias("loadable"),
         F.col(folder).alias("grp"),
+        *keep,
     )
 
 
@@ -102,17 +106,17 @@ def hash_words_of_text(df: DataFrame, text: str, min_words: int) -> DataFrame:
     return counted.select(*df.columns, *difference_words(F.col("_hist")))
 
 
-def document_hashes(spark: SparkSession, sf_dir: str, min_words: int = 200) -> DataFrame:
-    """(id, cls, split, md5, h0..h3) of every document; hash words are NULL for short ones."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+def hashed_items(spark: SparkSession, sf_dir: str, min_words: int = 200) -> DataFrame:
+    """The documents as items with their hash words, read and hashed once and then staged.
+
+    The staged record holds no text, so the passes of the copy search read little.
+    """
+    docs = spread(table(spark, sf_dir, "documents"))
     hashed = hash_words_of_text(docs, "text", min_words)
-    return hashed.select(
-        F.col("doc_id").alias("id"),
-        F.col("lang").alias("cls"),
-        split_by_draw(F.col("doc_id")).alias("split"),
-        F.md5("text").alias("md5"),
-        *WORDS,
+    records = items_from_table(
+        hashed, id="doc_id", cls="lang", text="text", folder="source", keep=WORDS
     )
+    return stage(records, "items")
 
 
 def document_preds(spark: SparkSession, sf_dir: str) -> DataFrame:

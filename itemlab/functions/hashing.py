@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,25 +29,37 @@ def word_histogram(words: Column, buckets: int = HISTOGRAM_BUCKETS) -> Column:
     counts are the distances between the run ends, less the added one. This needs one sort per
     row and no shuffle.
     """
-    marked = F.array_sort(
-        F.concat(F.transform(words, lambda w: word_bucket(w, buckets)), F.sequence(F.lit(0), F.lit(buckets - 1)))
-    )
-    positions = F.sequence(F.lit(1), F.size(marked))
-    ends = F.filter(
-        positions,
-        lambda i: F.get(marked, i).isNull() | (F.get(marked, i) != F.get(marked, i - 1)),
-    )
-    starts = F.concat(F.array(F.lit(0)), F.slice(ends, 1, buckets - 1))
-    return F.zip_with(ends, starts, lambda end, start: end - start - 1)
+    every = F.sequence(F.lit(0), F.lit(buckets - 1))
+    marked = F.array_sort(F.concat(F.transform(words, lambda w: word_bucket(w, buckets)), every))
+
+    def run_ends(m: Column) -> Column:
+        return F.filter(
+            F.sequence(F.lit(1), F.size(m)),
+            lambda i: (i == F.size(m)) | (F.get(m, i) != F.get(m, i - 1)),
+        )
+
+    def lengths(ends: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.slice(ends, 1, buckets - 1))
+        return F.zip_with(ends, starts, lambda end, start: end - start - 1)
+
+    return once(once(marked, run_ends), lengths)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with `value` computed once, however often `use` refers to it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def difference_words(vector: Column) -> list[Column]:
-    """The 256 bits 'greater than the left neighbour' of a 257-element array, as four words."""
+    """The 256 bits 'greater than the left neighbour' of a 257-element array, as four words.
+
+    A shorter array leaves the bits beyond its end 0.
+    """
     words = []
     for w in range(4):
         left = F.slice(vector, 64 * w + 1, 64)
         right = F.slice(vector, 64 * w + 2, 64)
-        bits = F.zip_with(right, left, lambda r, l: (r > l).cast("long"))
+        bits = F.zip_with(right, left, lambda r, l: F.coalesce(r > l, F.lit(False)).cast("long"))
         # The first bit becomes the lowest: fold from the last element on, shifting left.
         word = F.aggregate(
             F.reverse(bits), F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b)

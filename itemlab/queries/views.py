@@ -133,7 +133,7 @@ VIEWS = {
 
 def differing(a: str, b: str) -> str:
     """Hamming distance between the hash words of two aliased tables."""
-    return "(" + " + ".join(f"bit_count(xor({a}.u{i}, {b}.u{i}))" for i in range(4)) + ")"
+    return "(" + " + ".join(f"CAST(bit_count(xor({a}.u{i}, {b}.u{i})) AS INTEGER)" for i in range(4)) + ")"
 
 
 VIEWS["pairs"] = f"""

@@ -119,6 +119,11 @@ def hashed_items(spark: SparkSession, sf_dir: str, min_words: int = 200) -> Data
     return stage(records, "items")
 
 
+def letter_share(text: Column) -> Column:
+    """The share of lower-case letters and blanks: the score of a text."""
+    return six_digits(F.length(F.regexp_replace(text, "[^a-z ]", "")) / F.length(text))
+
+
 def document_preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two scores for every labelled document: (id, split, y, p, p2).
 
@@ -130,13 +135,12 @@ def document_preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     words = tokens(F.col("text"))
-    plain = F.length(F.regexp_replace("text", "[^a-z ]", ""))
     first_digit = F.substring(F.md5(F.col("id").cast("string")), 1, 1)
     return docs.join(labels, "id").select(
         "id",
         F.when(first_digit < "8", "val").otherwise("test").alias("split"),
         F.col("y").cast("int").alias("y"),
-        six_digits(plain / F.length("text")).alias("p"),
+        letter_share(F.col("text")).alias("p"),
         six_digits(F.size(F.array_distinct(words)) / F.size(words)).alias("p2"),
     )
 

@@ -17,6 +17,7 @@ def main() -> int:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     parts = sys.argv[2:]
     spark, con = local_session(), oracle.connect(sf_dir)
+    spark.sparkContext.setLogLevel("OFF")
     sql = spark_entry.oracle_sql()
     bad = 0
     for name, fn in spark_entry.queries().items():

@@ -96,8 +96,12 @@ def stratified_folds(items: DataFrame, k: int = DEFAULTS.leak_folds, seed: int =
 
 
 def systematic_sample(items: DataFrame, n: int, order: Sequence[str] = ("id",)) -> DataFrame:
-    """min(n, rows) rows evenly spaced in the given order, the first and the last included."""
-    ranked = rank_in_order(items, list(order))
+    """min(n, rows) rows evenly spaced in the given order, the first and the last included.
+
+    The order columns must identify a row: only they are sorted, and the sample's at most n keys
+    then pick the whole rows.
+    """
+    ranked = rank_in_order(items.select(*order), list(order))
     total = ranked.agg(F.count("*").alias("rows"))
     steps = F.greatest(F.least(F.lit(n).cast("long"), F.col("rows")) - 1, F.lit(0).cast("long"))
     # n places: small by the caller's choice.
@@ -113,7 +117,8 @@ def systematic_sample(items: DataFrame, n: int, order: Sequence[str] = ("id",))
         )
         .distinct()
     )
-    return ranked.join(F.broadcast(places), "rank", "left_semi").drop("rank")
+    keys = ranked.join(F.broadcast(places), "rank", "left_semi").drop("rank")
+    return items.join(F.broadcast(keys), list(order), "left_semi")
 
 
 def pick_examples(

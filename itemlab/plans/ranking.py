@@ -59,8 +59,9 @@ def rank_by_draw(
     their bucket alone, before anything is sorted; `limit` may use the `by` columns and
     `group_size`.
 
-    The offsets have at most 16**digits rows per group, which is why they are broadcast: with
-    the default three digits that is 4,096 rows for each class.
+    The offsets have at most 16**digits rows per group. They are staged, so that Catalyst knows
+    their true size: for a class column they are broadcast, and with so many groups that they
+    exceed spark.sql.autoBroadcastJoinThreshold they are shuffled by the same key as the ranks.
     """
     drawn = df.withColumn("_draw", draw)
     bucket = F.substring("_draw", 1, digits)
@@ -68,7 +69,7 @@ def rank_by_draw(
     if limit is not None:
         limit = limit if isinstance(limit, Column) else F.lit(limit)
         offsets = offsets.withColumn("_limit", limit)
-    keyed = drawn.withColumn("_bucket", bucket).join(F.broadcast(offsets), [*by, "_bucket"])
+    keyed = drawn.withColumn("_bucket", bucket).join(stage(offsets, "offsets"), [*by, "_bucket"])
     if limit is not None:
         keyed = keyed.where(F.col("_before") < F.col("_limit"))
     inside = Window.partitionBy(*by, "_bucket").orderBy("_draw", tie)

@@ -198,7 +198,7 @@ def _(spark, sf_dir):
         "embedding",
     )
     features = stage(audit.vector_features(vectors, "embedding").drop("embedding"), "features")
-    return source_leak(features, trees=20, depth=5)
+    return source_leak(features, trees=10, depth=5)
 
 
 def checks_sql(source: str) -> str:

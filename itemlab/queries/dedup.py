@@ -157,8 +157,17 @@ def _(spark, sf_dir):
 
 @query(
     "c09_audit_status",
-    """SELECT 'unchanged' AS reported, 'current' AS status
-    UNION ALL SELECT 'one split only', 'out of date' UNION ALL SELECT 'nothing', 'missing'""",
+    with_views(
+        f"""WITH part AS (SELECT * FROM items WHERE split = 'train'),
+        now AS (WITH {FINGERPRINT_SQL.format(source='items')} SELECT fingerprint FROM l0),
+        saved AS (
+          SELECT 'unchanged' AS reported, fingerprint AS f FROM now
+          UNION ALL SELECT 'one split only', (WITH {FINGERPRINT_SQL.format(source='part')} SELECT fingerprint FROM l0)
+          UNION ALL SELECT 'nothing', NULL)
+        SELECT reported, CASE WHEN f IS NULL THEN 'missing' WHEN f = (SELECT fingerprint FROM now) THEN 'current'
+          ELSE 'out of date' END AS status FROM saved""",
+        "items",
+    ),
 )
 def _(spark, sf_dir):
     items = stage(document_items(spark, sf_dir).select("path", "md5", "split"), "items")

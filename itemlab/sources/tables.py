@@ -77,20 +77,19 @@ def items_from_table(
 
 def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as items; the language is the class, the source is the folder."""
-    return items_from_table(
-        table(spark, sf_dir, "documents"), id="doc_id", cls="lang", text="text", folder="source"
-    )
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return items_from_table(docs, id="doc_id", cls="lang", text="text", folder="source")
 
 
 def labelled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that carry a label; the class is good (quality 1) or poor (quality 0)."""
     labels = table(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("_doc"),
-        F.when(F.col("quality") == 1, "good").otherwise("poor").alias("quality_class"),
+        F.col("doc_id").alias("id"),
+        F.when(F.col("quality") == 1, "good").otherwise("poor").alias("cls"),
     )
-    docs = table(spark, sf_dir, "documents")
-    joined = docs.join(labels, F.col("doc_id") == F.col("_doc"))
-    return items_from_table(joined, id="doc_id", cls="quality_class", text="text", folder="source")
+    # The record is built before the join, so that no text is shuffled.
+    records = document_items(spark, sf_dir)
+    return records.drop("cls").join(labels, "id").select(*records.columns)
 
 
 def hash_words_of_text(df: DataFrame, text: str, min_words: int) -> DataFrame:
@@ -133,16 +132,17 @@ def document_preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("id"), F.col("quality").alias("y")
     )
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
     words = tokens(F.col("text"))
     first_digit = F.substring(F.md5(F.col("id").cast("string")), 1, 1)
-    return docs.join(labels, "id").select(
+    # Scored before the join, so that no text is shuffled.
+    scored = docs.select(
         "id",
         F.when(first_digit < "8", "val").otherwise("test").alias("split"),
-        F.col("y").cast("int").alias("y"),
         letter_share(F.col("text")).alias("p"),
         six_digits(F.size(F.array_distinct(words)) / F.size(words)).alias("p2"),
     )
+    return scored.join(labels, "id").select("id", "split", F.col("y").cast("int").alias("y"), "p", "p2")
 
 
 def line_preds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,13 +16,15 @@ the pieces themselves are counted, ranked and placed by distributed steps, and r
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,47 +34,87 @@ from itemlab.plans.staging import stage
 SEQUENCE = 4096
 END_ID = 1
 SEED = 3
-CACHED_WORDS = 300_000
-_caches: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+CACHED_WORDS = 500_000
+TEXTS_AT_ONCE = 256
+#: ASCII punctuation, but for the apostrophe, between a letter or digit and white space.
+TRAILING = re.compile(rb"(?<=[A-Za-z0-9])([!-&(-/:-@\[-`{-~]++)(?=[\x20\x09-\x0D]|\Z)")
+#: Texts with this may hold a special token and are taken as they are.
+SPECIAL = b"<|"
+_encoders: dict[str, WordEncoder] = {}
 
 
-def _encoder(tokenizer_file: str) -> Callable[[list[str]], list[bytes]]:
-    """Texts to token ids, as little-endian unsigned 32-bit numbers.
+class WordEncoder:
+    """Token ids of texts, as little-endian unsigned 32-bit numbers.
 
-    The tokenizer never joins what ASCII white space separates, so words are encoded once and
-    remembered; a worker forgets them when it holds `CACHED_WORDS` of them.
+    The tokenizer lower-cases, and never joins what ASCII white space separates, nor a letter or
+    digit and the ASCII punctuation that ends the word. So both are encoded once and remembered.
+    When there are too many, those of the latest texts are kept, which the most frequent ones are among.
     """
-    if tokenizer_file not in _caches:
+
+    def __init__(self, tokenizer_file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _caches[tokenizer_file] = Tokenizer.from_file(tokenizer_file), {}
-    tokenizer, known = _caches[tokenizer_file]
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+
+    def _learn_letters(self, words: list[bytes], plain: list[str]) -> bool:
+        """Words of letters alone are one tokenizer word each, so their ids can be told apart by
+        the tokens that end a word; False if the number of those is another."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+        if len(ends) != len(words):
+            return False
+        data, start = ids.tobytes(), 0
+        for word, end in zip(words, ends.tolist()):
+            self.known[word] = data[start:end]
+            start = end
+        return True
 
-    def learn(words: list[bytes]) -> None:
-        plain = [w.decode("utf-8", "replace") for w in words]
-        encoded = tokenizer.encode(plain, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(encoded.ids, "<u4")
-        owner = np.array([-1 if w is None else w for w in encoded.word_ids], np.int64)
-        ends = np.searchsorted(owner, np.arange(len(words)), side="right").tolist()
-        start = 0
+    def _learn_any(self, words: list[bytes], plain: list[str]) -> None:
+        encoded = self.tokenizer.encode(plain, is_pretokenized=True, add_special_tokens=False)
+        owner = np.array(encoded.word_ids, np.int64)
+        ends = (np.searchsorted(owner, np.arange(len(words)), side="right") * 4).tolist()
+        data, start = np.array(encoded.ids, "<u4").tobytes(), 0
         for word, end in zip(words, ends):
-            known[word] = ids[start:end].tobytes()
+            self.known[word] = data[start:end]
             start = end
 
-    def encode(texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            words = text.encode("utf-8", "replace").split()
-            if len(known) > CACHED_WORDS:
-                known.clear()
-            new = list({w for w in words if w not in known})
-            if new:
-                learn(new)
-            out.append(b"".join(map(known.__getitem__, words)))
-        return out
-
-    return encode
+    def learn(self, new: set[bytes]) -> None:
+        simple, other = [], []
+        for word in new:
+            text = word.decode("utf-8", "replace")
+            letters = text.isalpha() and (text.isascii() or (text.lower() == text and is_normalized("NFC", text)))
+            (simple if letters else other).append((word, text))
+        if simple and not self._learn_letters(*map(list, zip(*simple))):
+            other += simple
+        if other:
+            self._learn_any(*map(list, zip(*other)))
+
+    def words(self, text: str) -> list[bytes]:
+        raw = text.encode("utf-8", "replace")
+        return raw.split() if SPECIAL in raw else TRAILING.sub(rb" \1", raw.lower()).split()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        words = list(map(self.words, texts))
+        present = set().union(*words)
+        new = present.difference(self.known)
+        if new:
+            if len(self.known) + len(new) > CACHED_WORDS:
+                self.known = {w: self.known[w] for w in present - new}
+            self.learn(new)
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, own)) for own in words]
+
+
+def _encoder(tokenizer_file: str) -> WordEncoder:
+    """One for each file and worker process."""
+    if tokenizer_file not in _encoders:
+        _encoders[tokenizer_file] = WordEncoder(tokenizer_file)
+    return _encoders[tokenizer_file]
 
 
 def cut_pieces(
@@ -89,34 +131,36 @@ def cut_pieces(
     tokenizer file must lie at the same path on every machine.
     """
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
     width = 4 * sequence
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(tokenizer_file)
-        for batch in batches:
-            owners, pieces, lengths, sums = [], [], [], []
-            for i, text in enumerate(batch["text"]):
-                ids = encode([text or ""])[0] + end
-                for piece, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at : at + width]
-                    owners.append(i)
-                    pieces.append(piece)
-                    lengths.append(len(part) // 4)
-                    sums.append(zlib.crc32(part))
-            piece = np.array(pieces, np.int32)
-            yield pd.DataFrame(
-                {
-                    "id": batch["id"].take(owners).reset_index(drop=True),
-                    "piece": piece,
-                    "start": piece.astype(np.int64) * sequence,
-                    "length": np.array(lengths, np.int64),
-                    "ids_crc32": np.array(sums, np.int64),
-                }
-            )
-
-    return rows.mapInPandas(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(tokenizer_file)
+        for whole in batches:
+            for first in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                batch = whole.slice(first, TEXTS_AT_ONCE)
+                owners, pieces, lengths, sums = [], [], [], []
+                for i, body in enumerate(encoder.encode([t or "" for t in batch["text"].to_pylist()])):
+                    ids = body + end
+                    for piece, at in enumerate(range(0, len(ids), width)):
+                        part = ids[at : at + width]
+                        owners.append(i)
+                        pieces.append(piece)
+                        lengths.append(len(part) // 4)
+                        sums.append(zlib.crc32(part))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch["id"].take(pa.array(owners, pa.int64())),
+                        pa.array(pieces, pa.int32()),
+                        pa.array([piece * sequence for piece in pieces], pa.int64()),
+                        pa.array(lengths, pa.int64()),
+                        pa.array(sums, pa.int64()),
+                    ],
+                    ["id", "piece", "start", "length", "ids_crc32"],
+                )
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 class _Plan:
@@ -214,21 +258,24 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
         draw_bin(F.col("_draw"), bins_for(sum(counts.values()))),
     ).drop("_draw")
 
-    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lowest = np.searchsorted(table[:, 0], np.arange(sequence + 2))
         for batch in batches:
-            length, rank = batch["length"].to_numpy(), batch.pop("_rank").to_numpy()
-            row = np.zeros(len(batch), np.int64)
+            length, rank = (batch[c].to_numpy(zero_copy_only=False) for c in ("length", "_rank"))
+            row = np.zeros(len(length), np.int64)
             for x in np.unique(length):
                 low, high = lowest[x], lowest[x + 1]
                 mine = length == x
                 row[mine] = low + np.searchsorted(table[low:high, 1], rank[mine], side="right") - 1
             _, since, per, first, offset = table[row].T
             nth = rank - since
-            yield batch.assign(sequence_id=first + nth // per, offset=offset + nth % per * length)
+            placed = [pa.array(first + nth // per), pa.array(offset + nth % per * length)]
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in columns], *placed], names)
 
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInPandas(look_up, f"{shape}, sequence_id long, offset long")
+    columns = pieces.columns
+    out = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    names = out.names
+    return ranked.mapInArrow(look_up, out)
 
 
 def pack_documents(

@@ -1,13 +1,15 @@
 """Exact search for the k largest inner products by the threshold algorithm.
 
 Vectors are dealt into blocks. A block has, for each dimension, the list of its vectors sorted by
-that component. A query goes down all lists at once, from the end its own component favours, and
-scores every vector it meets for the first time. What it has not met can at most reach the sum,
-over the dimensions, of its component times the list's value at the depth reached; once that bound
-is below the k-th best score, the search in the block ends. Depths grow by a factor, which costs
-some lookups and changes no result. The best of all blocks are merged per query.
-
-A query block meets a candidate block in one task, both of bounded size; queries and candidates
+that component. A group of queries goes down all lists at once, from both ends, since a query
+favours high components where its own is above zero and low ones where it is below. What is met
+for the first time is scored for the queries that still search. What has not been met can at most
+reach the sum, over the dimensions, of the query's component times the list's value at the depth
+reached on its favoured side; once that bound is below a query's k-th best score, its search in
+the block ends. Depths grow by a factor, which costs some lookups and changes no result. The best
+of all blocks are merged per query.
+
+A query group meets a candidate block in one task, both of bounded size; queries and candidates
 are repeated once for each block of the other side.
 """
 
@@ -37,39 +39,48 @@ def usable(vector: str) -> Column:
     return F.coalesce(finite & (F.size(vector) > 0), F.lit(False))
 
 
-def threshold_search(query: np.ndarray, matrix: np.ndarray, ids: np.ndarray, order: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (ids, scores) of one query in one block, ties to smaller ids.
+def threshold_search(
+    queries: np.ndarray, own: np.ndarray, matrix: np.ndarray, ids: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, id, score) of the k best of each query in one block, ties to smaller ids.
 
-    `order` is (dimensions, vectors): each list's vectors by rising component.
+    `own` has the queries' ids, which are not found. Entries must be exact in the arrays' type.
     """
-    n = len(ids)
-    up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-    lists = np.concatenate([order[up, ::-1], order[down]])
-    dims = np.concatenate([up, down])
-    scores = np.zeros(n, matrix.dtype)
+    n, dims = matrix.shape
+    never = -np.inf if matrix.dtype == np.float64 else -(2**62) if matrix.dtype == np.int64 else -(10**40)
+    order = np.argsort(matrix, axis=0, kind="stable")
+    each = np.arange(dims)
+    scores = np.full((len(queries), n), never, matrix.dtype)
+    least = np.full(len(queries), never, matrix.dtype)
     met = np.zeros(n, bool)
-    other = ids != own
-    depth = FIRST_DEPTH if len(dims) else n
+    searching = np.arange(len(queries))
+    depth = min(FIRST_DEPTH, n)
     while True:
-        if depth >= n:
-            new = np.flatnonzero(~met)
-        else:
-            here = np.zeros(n, bool)
-            here[lists[:, :depth].ravel()] = True
-            new = np.flatnonzero(here & ~met)
-        scores[new] = matrix[new] @ query
+        here = np.zeros(n, bool)
+        here[order[:depth].ravel()] = True
+        here[order[n - depth :].ravel()] = True
+        new = np.flatnonzero(here & ~met)
         met[new] = True
-        seen = np.flatnonzero(met & other)
-        if len(seen) >= k:
-            least = np.partition(scores[seen], len(seen) - k)[len(seen) - k]
-            if depth >= n or least > query[dims] @ matrix[lists[:, depth - 1], dims]:
-                seen = seen[scores[seen] >= least]
-                break
-        if depth >= n:
+        reached = queries[searching] @ matrix[new].T
+        reached[own[searching, None] == ids[new]] = never
+        scores[np.ix_(searching, new)] = reached
+        if met.sum() >= k:
+            seen = scores[np.ix_(searching, np.flatnonzero(met))]
+            least[searching] = np.partition(seen, seen.shape[1] - k, axis=1)[:, seen.shape[1] - k]
+        low, high = matrix[order[depth - 1], each], matrix[order[n - depth], each]
+        asked = queries[searching]
+        bound = np.maximum(asked, 0) @ high + np.minimum(asked, 0) @ low
+        searching = searching[least[searching] <= bound]
+        if met.all() or not len(searching):
             break
-        depth *= DEEPER
-    best = seen[np.lexsort((ids[seen], -scores[seen]))[:k]]
-    return ids[best], scores[best]
+        depth = min(depth * DEEPER, n)
+    row, column = np.nonzero((scores >= least[:, None]) & (scores != never))
+    found = scores[row, column]
+    rank = np.lexsort((ids[column], -found, row))
+    row, column, found = row[rank], column[rank], found[rank]
+    first = np.searchsorted(row, np.arange(len(queries)))
+    best = np.arange(len(row)) - first[row] < k
+    return row[best], ids[column[best]], found[best]
 
 
 def _search_block(k: int):
@@ -80,15 +91,12 @@ def _search_block(k: int):
         asked = np.array(queries["vector"].tolist(), np.int64)
         most = float(np.abs(matrix).max()) * float(np.abs(asked).max()) * matrix.shape[1]
         # Products of doubles are exact as long as every sum fits 53 bits.
-        kind = np.float64 if most < 2**53 else np.int64 if most < 2**63 else object
-        matrix, asked = matrix.astype(kind), asked.astype(kind)
-        ids = block["id"].to_numpy(np.int64)
-        order = np.argsort(matrix, axis=0, kind="stable").T
-        parts = []
-        for own, query in zip(queries["id"].to_numpy(np.int64), asked):
-            found, scores = threshold_search(query, matrix, ids, order, k, own)
-            parts.append(pd.DataFrame({"query_id": own, "vec_id": found, "score": scores.astype(np.int64)}))
-        return pd.concat(parts, ignore_index=True)
+        kind = np.float64 if most < 2**53 else np.int64 if most < 2**62 else object
+        own = queries["id"].to_numpy(np.int64)
+        row, ids, scores = threshold_search(
+            asked.astype(kind), own, matrix.astype(kind), block["id"].to_numpy(np.int64), k
+        )
+        return pd.DataFrame({"query_id": own[row], "vec_id": ids, "score": scores.astype(np.int64)})
 
     return search
 

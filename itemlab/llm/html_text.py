@@ -21,7 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from itemlab.llm.common import draw
+
 LABELLED_PAGES = 500
+SEED = 9
 LEAST_TAG_COST = 0.02
 MOST_WEIGHT = 4.0
 
@@ -124,8 +127,11 @@ def page_counts(page: str | None) -> Counter:
 def learn_weights(pages: DataFrame, id: str = "page_id", page: str = "html", most: int = LABELLED_PAGES) -> dict[tuple[str, str], float]:
     """Weights from at most `most` labelled pages, chosen by hash so that reruns agree."""
     labelled = pages.where(F.lower(F.col(page)).contains("<article") | F.lower(F.col(page)).contains("<main"))
-    sample = labelled.select(F.col(page).alias("page"), F.xxhash64(F.col(id), F.col(page)).alias("_draw"))
-    sample = sample.orderBy("_draw").limit(most).drop("_draw")
+    drawn = labelled.select(F.col(page).alias("page"), draw(SEED, F.col(id), F.col(page)).alias("_draw"))
+    n = labelled.count()
+    # A little more than is kept, so that the sort sees few pages however many there are.
+    share = min(1.0, (2 * most + 20) / n) if n else 1.0
+    sample = drawn.where(F.col("_draw") <= share * 2.0**62).orderBy("_draw").limit(most).drop("_draw")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

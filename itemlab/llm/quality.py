@@ -177,28 +177,29 @@ def estimate(
     return good, votes
 
 
-def judge(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """The columns `keep`, the counts, `base_failed`, `kept` and `quality` for every document."""
-    counted = stage(text_counts(docs, text, keep), "text-counts")
-    rules = rule_votes()
-    names = [f"vote_{name}" for name in rules]
-    voted = counted.withColumns({f"vote_{name}": vote for name, vote in rules.items()})
+def _voted(counted: DataFrame) -> DataFrame:
+    return counted.withColumns({f"vote_{name}": vote for name, vote in rule_votes().items()})
+
+
+def learn(counted: DataFrame) -> tuple[float, np.ndarray]:
+    """The share of good documents and the log odds of each vote, (rules, vote)."""
+    names = [f"vote_{name}" for name in rule_votes()]
+    found = _voted(counted).groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names).collect()
+    patterns = np.array([[r[c] for c in names] for r in found], np.int64).reshape(-1, len(names))
+    good, votes = estimate(patterns, np.array([r["n"] for r in found], np.float64))
+    return good, np.log(votes[:, 1] / votes[:, 0])
+
+
+def apply(counted: DataFrame, good: float, weights: np.ndarray) -> DataFrame:
+    """Add base_failed, kept and quality, the posterior probability of being good."""
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
     )
-    found = voted.groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names).collect()
-    patterns = np.array([[r[c] for c in names] for r in found], np.int64).reshape(-1, len(names))
-    good, votes = estimate(patterns, np.array([r["n"] for r in found], np.float64))
-    weights = np.log(votes[:, 1] / votes[:, 0])
     odds = F.lit(float(np.log(good / (1 - good))))
-    for name, weight in zip(names, weights):
-        odds = odds + F.element_at(F.array(*[F.lit(float(w)) for w in weight]), F.col(name) + 1)
-    return voted.select(
-        *[F.col(f"keep_{c}").alias(c) for c in keep],
-        *["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"],
-        failed.alias("base_failed"),
-        (~failed & (odds >= 0)).alias("kept"),
-        (1 / (1 + F.exp(-odds))).alias("quality"),
+    for name, weight in zip(rule_votes(), weights):
+        odds = odds + F.element_at(F.array(*[F.lit(float(w)) for w in weight]), F.col(f"vote_{name}") + 1)
+    return _voted(counted).withColumns(
+        {"base_failed": failed, "kept": ~failed & (odds >= 0), "quality": 1 / (1 + F.exp(-odds))}
     )
 
 
@@ -209,14 +210,19 @@ def judge_quality(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     A NULL or empty text has no words and fails the base. An empty table gives an empty table.
     Repeated rows are judged alike and all returned; other columns are not read.
     """
-    return judge(docs, text, [id])
+    counted = stage(text_counts(docs, text, [id]), "text-counts")
+    return apply(counted, *learn(counted)).select(
+        F.col(f"keep_{id}").alias(id),
+        *["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"],
+        *["base_failed", "kept", "quality"],
+    )
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that are kept, with their own columns."""
-    named = [f"own_{c}" for c in docs.columns]
-    return (
-        judge(docs.toDF(*named), f"own_{text}", named)
-        .where("kept")
-        .select(*[F.col(n).alias(c) for n, c in zip(named, docs.columns)])
-    )
+    """The documents that are kept, with their own columns.
+
+    Texts are counted twice, to learn and to judge, rather than written down in between.
+    """
+    learned = learn(text_counts(docs, text, []))
+    judged = apply(text_counts(docs, text, docs.columns), *learned).where("kept")
+    return judged.select(*[F.col(f"keep_{c}").alias(c) for c in docs.columns])

@@ -23,7 +23,11 @@ ASSIGN = rf"""{NAME}["']?\x20*[:=]\x20*["']?({VALUE})"""
 #: Only runs that are long enough: a run is always matched whole, so shorter ones hide nothing.
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
-TOKEN = "[A-Za-z0-9+/_=-]{20,}"
+#: A whole run of token characters that has a digit, a small and a capital letter.
+TOKEN = (
+    "(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[A-Z0-9+/_=-]*+[a-z])(?=[a-z0-9+/_=-]*+[A-Z])"
+    "[A-Za-z0-9+/_=-]{20,}"
+)
 LEAST_VALUE = 6
 KINDS = ("assign", "access", "hex", "owned")
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
@@ -64,14 +68,6 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def _mixed(token: Column) -> Column:
-    return (
-        F.regexp_like(token, F.lit("[0-9]"))
-        & F.regexp_like(token, F.lit("[a-z]"))
-        & F.regexp_like(token, F.lit("[A-Z]"))
-    )
-
-
 def _joined(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.concat_ws(
@@ -89,36 +85,31 @@ def scan(docs: DataFrame, text: str, owner: str, keep: list[str], most_owners: i
     """The columns `keep`, `base_spans` and `all_spans` for every row of `docs`.
 
     A row is a repository of its own; rows without an owner count as one owner. Spans are
-    (start, kind number, stop). What the patterns find is written down with a number for each
-    row, so texts are searched once and are not shuffled: only candidates are, and the few rows
-    that have any.
+    (start, kind number, stop). Rows that may have candidates are written down with a number for
+    each; all others go straight through, so the bulk of the texts is neither written nor moved.
     """
     kept = [F.col(c).alias(f"keep_{c}") for c in keep]
-    found = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("_text"), F.col(owner).alias("_owner"))
-    found = found.withColumns({f"_{k}": s for k, s in base_spans(F.col("_text")).items()})
-    tokens = F.transform(
-        _matches(F.col("_text"), TOKEN, 3),
-        lambda s: F.struct(
-            s.alias("span"), F.substring(F.col("_text"), s["start"] + 1, s["stop"] - s["start"]).alias("token")
-        ),
-    )
-    base = F.array_sort(F.concat("_assign", "_access", "_hex"))
-    found = found.withColumns({"_base": base, "_tokens": tokens, "_row": F.monotonically_increasing_id()})
+    names = [f"keep_{c}" for c in keep]
+    rows = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("_text"), F.col(owner).alias("_owner"))
+    base = F.array_sort(F.concat(*base_spans(F.col("_text")).values()))
+    may_hold = F.regexp_like("_text", F.lit(TOKEN))
+    plain = rows.where(~may_hold).withColumn("_base", base).select(*names, "_base", F.col("_base").alias("_all"))
 
-    def free(candidate: Column) -> Column:
+    def apart(candidate: Column) -> Column:
         span = candidate["span"]
-        return _mixed(candidate["token"]) & ~F.exists(
-            "_base", lambda b: (b["start"] < span["stop"]) & (span["start"] < b["stop"])
-        )
+        return ~F.exists("_base", lambda b: (b["start"] < span["stop"]) & (span["start"] < b["stop"]))
 
     hashed = F.transform(
-        F.filter("_tokens", free),
-        lambda c: F.struct(c["span"].alias("span"), F.sha2(c["token"], 256).alias("hash")),
+        _matches(F.col("_text"), TOKEN, 3),
+        lambda s: F.struct(
+            s.alias("span"),
+            F.sha2(F.substring(F.col("_text"), s["start"] + 1, s["stop"] - s["start"]), 256).alias("hash"),
+        ),
     )
-    names = [f"keep_{c}" for c in keep]
-    found = stage(found.select(*names, "_row", "_owner", "_base", hashed.alias("_candidates")), "secrets")
+    holding = rows.where(may_hold).withColumns({"_base": base, "_found": hashed, "_row": F.monotonically_increasing_id()})
+    holding = holding.withColumn("_candidates", F.filter("_found", apart))
+    holding = stage(holding.select(*names, "_row", "_owner", "_base", "_candidates"), "secrets")
 
-    holding = found.where(F.size("_candidates") > 0)
     candidates = holding.select("_row", "_owner", F.explode("_candidates").alias("_c"))
     candidates = candidates.select("_row", "_owner", "_c.span", "_c.hash")
     # Owners are counted on (hash, owner) first, so that a hash in many rows is small by then.
@@ -127,9 +118,8 @@ def scan(docs: DataFrame, text: str, owner: str, keep: list[str], most_owners: i
     own = candidates.join(holders.where(F.col("_owners") <= most_owners), "hash")
     own = own.groupBy("_row").agg(F.collect_list("span").alias("_own"))
     added = F.array_sort(F.concat("_base", F.coalesce("_own", F.array().cast(SPAN))))
-    plain = found.where(F.size("_candidates") == 0).withColumn("_all", F.col("_base"))
-    both = holding.join(own, "_row", "left").withColumn("_all", added).select(plain.columns)
-    return plain.unionByName(both).select(
+    held = holding.join(own, "_row", "left").select(*names, "_base", added.alias("_all"))
+    return plain.unionByName(held).select(
         *[F.col(f"keep_{c}").alias(c) for c in keep],
         F.col("_base").alias("base_spans"),
         F.col("_all").alias("all_spans"),

@@ -186,18 +186,27 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", cro
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", crowded: int = CROWDED) -> DataFrame:
     """One document of each class, the one with the smallest id, with its own columns.
 
-    Rows are numbered as they are written down with their fingerprints, so that of rows with
-    equal ids one stays too.
+    Decisions are made on (id, hash of the text) alone, so texts are read twice and not written
+    down. Rows that agree in both are repeats, of which one stays.
     """
+    key = [F.col(id).alias("_id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("_key")]
+    marked = stage(with_fingerprints(docs.select(*key, F.col(text).alias("_words")), "_words", ["_id", "_key"]), "fingerprints")
+    found = marked.groupBy("_id", "_key", "fp").agg(F.count("*").alias("_n"))
+    found = stage(found.join(classes(marked, "_id", crowded), "fp"), "simhash-members")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_key")).alias("_first"))
+    judged = found.join(first, "root")
+    stays = F.col("_first._id").eqNullSafe(F.col("_id")) & (F.col("_first._key") == F.col("_key"))
+    gone = stage(judged.where(~stays).select(F.col("_id").alias("_gone"), F.col("_key").alias("_gone_key")), "simhash-gone")
+    again = judged.where(stays & (F.col("_n") > 1))
+    again = stage(again.select(F.col("_id").alias("_again"), F.col("_key").alias("_again_key")), "simhash-again")
+
     named = [f"own_{c}" for c in docs.columns]
-    rows = docs.toDF(*named)
-    marked = with_fingerprints(rows, f"own_{text}", named).withColumn("_row", F.monotonically_increasing_id())
-    marked = stage(marked, "fingerprints")
-    own = f"own_{id}"
-    narrow = marked.select("fp", own, "_row").join(classes(marked, own, crowded), "fp")
-    first = narrow.groupBy("root").agg(F.min(F.struct(F.col(own).isNull(), own, "_row")).alias("_first"))
-    gone = narrow.join(first, "root").where(F.col("_first._row") != F.col("_row")).select("_row")
-    left = marked.join(stage(gone, "simhash-gone"), "_row", "left_anti")
+    rows = docs.toDF(*named).withColumns({"_id": F.col(f"own_{id}"), "_key": F.sha2(F.coalesce(F.col(f"own_{text}"), F.lit("")), 256)})
+    left = rows.join(gone, F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_gone_key")), "left_anti")
+    if not again.isEmpty():
+        same = F.col("_id").eqNullSafe(F.col("_again")) & (F.col("_key") == F.col("_again_key"))
+        repeats = left.join(again, same, "left_semi").dropDuplicates(["_id", "_key"])
+        left = left.join(again, same, "left_anti").unionByName(repeats)
     return left.select(*[F.col(n).alias(c) for n, c in zip(named, docs.columns)])
 
 

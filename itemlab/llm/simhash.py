@@ -202,7 +202,8 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", crowded: i
 
     named = [f"own_{c}" for c in docs.columns]
     rows = docs.toDF(*named).withColumns({"_id": F.col(f"own_{id}"), "_key": F.sha2(F.coalesce(F.col(f"own_{text}"), F.lit("")), 256)})
-    left = rows.join(gone, F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_gone_key")), "left_anti")
+    # What goes grows with the corpus, so it is shuffled like the documents at every size.
+    left = rows.join(gone.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_gone_key")), "left_anti")
     if not again.isEmpty():
         same = F.col("_id").eqNullSafe(F.col("_again")) & (F.col("_key") == F.col("_again_key"))
         repeats = left.join(again, same, "left_semi").dropDuplicates(["_id", "_key"])

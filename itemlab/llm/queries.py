@@ -36,7 +36,19 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-@query("op1_url_filters")
+@query(
+    "op1_url_filters",
+    f"""WITH parts AS (
+      SELECT page_id, lower(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')) AS host,
+        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+    rules(h, p, action) AS (VALUES {", ".join(map(str, URL_RULES))}),
+    fits AS (
+      SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(action, length(h || p)) AS action
+      FROM (SELECT DISTINCT host, path FROM parts) d JOIN rules
+        ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path)
+    SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict
+    FROM parts LEFT JOIN fits USING (host, path)""",
+)
 def _(spark, sf_dir):
     rules = url_filters.rules_from(spark, URL_RULES)
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -75,12 +87,31 @@ def _(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
-@query("op7_warc")
+@query(
+    "op7_warc",
+    """WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+    d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS h, min(page_id) OVER (PARTITION BY body) AS f FROM p)
+    SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda k: substr(
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((('0x' || substr(h, (1 + 5 * (k // 4))::INT, 5))::BIGINT >> (15 - 5 * (k % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+      CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id <> f THEN f END AS refers_to FROM d""",
+)
 def _(spark, sf_dir):
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
-@query("op8_top_k")
+@query(
+    "op8_top_k",
+    """WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+    SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    WHERE rank <= 20""",
+)
 def _(spark, sf_dir):
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 

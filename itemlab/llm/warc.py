@@ -171,12 +171,13 @@ def reachable(found: DataFrame) -> DataFrame:
 
 def _split_payloads(spark: SparkSession, folder: str, records: DataFrame, found: DataFrame) -> DataFrame:
     """(file, at, digest) of records whose payload holds the magic and so lies in many segments."""
-    broken = records.where(~F.col("whole")).select("file", F.col("at").alias("_start"), "succ", "length")
+    starts = records.select("file", "at", F.struct("at", "succ", "length", "whole").alias("_own"))
+    order = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    within = found.select("file", "block", "seq", "at").join(starts, ["file", "at"], "left")
     span = (
-        found.join(broken.withColumnRenamed("succ", "_stop"), "file")
-        .where((F.col("at") >= F.col("_start")) & (F.col("at") < F.col("_stop")))
-        .select("file", "block", "seq", "at", "_start", F.col("length").alias("_own"), broken["length"].alias("_length"))
-        .drop("_own")
+        within.withColumn("_in", F.last("_own", ignorenulls=True).over(order))
+        .where(~F.col("_in.whole") & (F.col("at") < F.col("_in.succ")))
+        .select("file", "block", "seq", "at", F.col("_in.at").alias("_start"), F.col("_in.length").alias("_length"))
     )
     texts = _segments(spark, folder).join(span, ["file", "block", "seq"])
     whole = texts.groupBy("file", "_start").agg(

@@ -3,9 +3,9 @@
 A page is a sequence of words and tags. Words score above zero and tags below, both with weights
 learned from labelled pages: pages whose <article> marks the content. How often words under a
 block tag are content gives the words' weight, how often a tag stands in the content its cost. The
-contiguous run with the largest sum, found in one linear scan, is the content region. Inside it,
-elements that are never text (scripts, forms, menus, ...) or that call themselves an advert, a
-notice, a sidebar or a comment are left out.
+contiguous run with the largest sum, found in one linear scan, is the content region. Elements that
+are never text (scripts, forms, menus, ...) or that call themselves an advert, a notice, a sidebar
+or a comment score nothing and are left out of it.
 """
 
 from __future__ import annotations
@@ -68,16 +68,18 @@ def _clutter(attributes: str) -> bool:
 class Piece:
     """A text between tags or a tag: what it is, under which block, whether it may be content."""
 
-    __slots__ = ("kind", "name", "text", "left_out", "marked")
+    __slots__ = ("kind", "name", "text", "left_out", "cluttered", "marked")
 
-    def __init__(self, kind: str, name: str, text: str, left_out: bool, marked: bool) -> None:
-        self.kind, self.name, self.text, self.left_out, self.marked = kind, name, text, left_out, marked
+    def __init__(self, kind: str, name: str, text: str, left_out: int, cluttered: int, marked: int) -> None:
+        self.kind, self.name, self.text = kind, name, text
+        self.left_out, self.cluttered, self.marked = left_out > 0, cluttered > 0, marked > 0
 
 
 def pieces(page: str) -> Iterator[Piece]:
     """The page's pieces. An <article> or <main> ends what was left open before it."""
-    stack: list[tuple[str, bool]] = []  # open elements and whether they are left out
-    left_out = marked = 0
+    # Open elements, and how they are left out: 0 not, 1 by what they are, 2 by what they are called.
+    stack: list[tuple[str, int]] = []
+    left_out = cluttered = marked = 0
     at = 0
 
     def block() -> str:
@@ -85,40 +87,53 @@ def pieces(page: str) -> Iterator[Piece]:
 
     for found in TOKEN.finditer(page):
         if found.start() > at:
-            yield Piece("text", block(), page[at : found.start()], left_out > 0, marked > 0)
+            yield Piece("text", block(), page[at : found.start()], left_out, cluttered, marked)
         at = found.end()
         if not found[3]:
             continue
         name, closing = found[3].lower(), bool(found[2])
-        yield Piece("tag", name, "", left_out > 0, marked > 0)
+        inside = marked
         if closing:
+            yield Piece("tag", name, "", left_out, cluttered, inside)
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if depth is not None:
                 for gone, out in stack[depth:]:
-                    left_out -= out
+                    left_out -= out > 0
+                    cluttered -= out > 1
                     marked -= gone in CONTENT
                 del stack[depth:]
         elif name not in VOID and not found[4].endswith("/"):
             if name in CONTENT and not marked:
                 stack.clear()
-                left_out = 0
+                left_out = cluttered = 0
             elif name == "p" or name in HEADINGS or name == "li":
                 # These end a paragraph or item that was left open.
                 while stack and (stack[-1][0] in INLINE or stack[-1][0] in ("p", name)):
-                    left_out -= stack.pop()[1]
+                    out = stack.pop()[1]
+                    left_out -= out > 0
+                    cluttered -= out > 1
             never = name in NEVER and not (name == "header" and marked)
-            out = never or (name not in ("html", "body", "main") and _clutter(found[4]))
+            out = 1 if never else 2 * (name not in ("html", "body", "main") and _clutter(found[4]))
             stack.append((name, out))
-            left_out += out
+            left_out += out > 0
+            cluttered += out > 1
             marked += name in CONTENT
+            yield Piece("tag", name, "", left_out, cluttered, inside)
+        else:
+            yield Piece("tag", name, "", left_out, cluttered, inside)
     if at < len(page):
-        yield Piece("text", block(), page[at:], left_out > 0, marked > 0)
+        yield Piece("text", block(), page[at:], left_out, cluttered, marked)
 
 
 def page_counts(page: str | None) -> Counter:
-    """(kind, name, in the content) -> how many; empty for a page without marked content."""
+    """(kind, name, in the content) -> how many; empty for a page without marked content.
+
+    What calls itself clutter says nothing about the tags that it is made of.
+    """
     counts: Counter = Counter()
     for piece in pieces(page or ""):
+        if piece.cluttered:
+            continue
         n = 1 if piece.kind == "tag" else len(piece.text.split())
         counts[piece.kind, piece.name, piece.marked and not piece.left_out] += n
     return counts if any(inside for *_, inside in counts) else Counter()
@@ -181,8 +196,8 @@ def main_text(page: str | None, weights: dict[tuple[str, str], float]) -> str:
     for piece in found:
         weight = weights.get((piece.kind, piece.name), UNSEEN[piece.kind])
         if piece.kind == "text":
-            weight = 0.0 if piece.left_out else weight * len(piece.text.split())
-        scores.append(weight)
+            weight *= len(piece.text.split())
+        scores.append(0.0 if piece.left_out else weight)
     start, stop = best_run(np.array(scores))
     blocks, block = [], []
     for piece in found[start:stop]:

@@ -59,7 +59,7 @@ def _signed(word: str) -> str:
 def _(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     words = docs.select(F.col("doc_id").alias("id"), tokens(F.col("text")).alias("words"))
-    counted = words.where(F.size("words") >= 200).select(
+    counted = words.where(F.size("words") > 0).select(
         "id", word_histogram(F.col("words")).alias("histogram")
     )
     return counted.select("id", *difference_words(F.col("histogram")))

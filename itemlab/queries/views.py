@@ -99,12 +99,11 @@ VIEWS = {
     "cuts": """
   SELECT 5e-2::DOUBLE + i * 5e-2::DOUBLE AS t FROM range(19) r(i)
 """,
-    # One row per document with enough words: the 256 bits as a list of 0/1, and as four words.
+    # One row per document with a word: the 256 bits as a list of 0/1, and as four words.
     "bucket_counts": f"""
   SELECT doc_id, b, count(*) AS n
   FROM (SELECT doc_id, CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) % 257 AS b
-        FROM (SELECT doc_id, unnest({_WORDS}) AS w FROM documents
-              WHERE len({_WORDS}) >= 200))
+        FROM (SELECT doc_id, unnest({_WORDS}) AS w FROM documents))
   GROUP BY ALL
 """,
     "set_bits": """

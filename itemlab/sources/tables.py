@@ -92,26 +92,22 @@ def labelled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.drop("cls").join(labels, "id").select(*records.columns)
 
 
-def hash_words_of_text(df: DataFrame, text: str, min_words: int) -> DataFrame:
-    """Add the four hash words of a text column; NULL for texts of fewer than `min_words` words.
-
-    A text that fills few histogram buckets has an almost empty hash, which is close to that of
-    every other short text, just as a flat picture is close to every other flat picture.
-    """
+def hash_words_of_text(df: DataFrame, text: str) -> DataFrame:
+    """Add the four hash words of a text column; NULL for texts without a word."""
     words = tokens(F.col(text))
     counted = df.withColumn("_words", words).withColumn(
-        "_hist", F.when(F.size("_words") >= min_words, word_histogram(F.col("_words")))
+        "_hist", F.when(F.size("_words") > 0, word_histogram(F.col("_words")))
     )
     return counted.select(*df.columns, *difference_words(F.col("_hist")))
 
 
-def hashed_items(spark: SparkSession, sf_dir: str, min_words: int = 200) -> DataFrame:
+def hashed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as items with their hash words, read and hashed once and then staged.
 
     The staged record holds no text, so the passes of the copy search read little.
     """
     docs = spread(table(spark, sf_dir, "documents"))
-    hashed = hash_words_of_text(docs, "text", min_words)
+    hashed = hash_words_of_text(docs, "text")
     records = items_from_table(
         hashed, id="doc_id", cls="lang", text="text", folder="source", keep=WORDS
     )
@@ -120,7 +116,7 @@ def hashed_items(spark: SparkSession, sf_dir: str, min_words: int = 200) -> Data
 
 def letter_share(text: Column) -> Column:
     """The share of lower-case letters and blanks: the score of a text."""
-    return six_digits(F.length(F.regexp_replace(text, "[^a-z ]", "")) / F.length(text))
+    return six_digits(F.try_divide(F.length(F.regexp_replace(text, "[^a-z ]", "")), F.length(text)))
 
 
 def document_preds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +136,7 @@ def document_preds(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id",
         F.when(first_digit < "8", "val").otherwise("test").alias("split"),
         letter_share(F.col("text")).alias("p"),
-        six_digits(F.size(F.array_distinct(words)) / F.size(words)).alias("p2"),
+        six_digits(F.try_divide(F.size(F.array_distinct(words)), F.size(words))).alias("p2"),
     )
     return scored.join(labels, "id").select("id", "split", F.col("y").cast("int").alias("y"), "p", "p2")
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from itemlab.config import DEFAULTS, Defaults
 from itemlab.functions.scalars import ratio
+from itemlab.plans.staging import stage
 
 COUNTS = ("tp", "fp", "tn", "fn")
 RATES = ("precision", "recall", "f1", "specificity", "accuracy", "balanced_accuracy")
@@ -170,7 +171,8 @@ def select_then_apply(
         F.lit("default").alias("role"), F.lit(cfg.default_threshold).alias("threshold")
     )
     wanted = tuned.unionByName(recall).unionByName(default)
-    return wanted.join(test_sweep, "threshold").select("role", *test_sweep.columns)
+    # A role whose threshold no value reaches stays, with NULLs.
+    return wanted.join(test_sweep, "threshold", "left").select("role", *test_sweep.columns)
 
 
 def classification_report(preds: DataFrame, threshold: float) -> DataFrame:
@@ -252,15 +254,15 @@ def score_counts(preds: DataFrame, p: str = "p") -> DataFrame:
     )
 
 
-def _score_bounds(preds: DataFrame, p: str) -> list[float]:
-    """Cut points that spread the rows evenly, fetched once so that every task cuts alike.
+def _score_bounds(counts: DataFrame) -> list[float]:
+    """Cut points that spread the scores evenly, fetched once so that every task cuts alike.
 
     The list is bounded by the number of shuffle partitions, not by the data. Any cut points
     give the same result; these only balance the work.
     """
-    spark = preds.sparkSession
-    parts = min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 4096)
-    found = preds.approxQuantile(p, [i / parts for i in range(1, parts)], 1 / (4 * parts))
+    spark = counts.sparkSession
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = counts.approxQuantile("p", [i / parts for i in range(1, parts)], 1 / (4 * parts))
     return [-float("inf"), *sorted(set(found)), float("inf")]
 
 
@@ -270,10 +272,11 @@ def cumulative_counts(preds: DataFrame, p: str = "p") -> DataFrame:
     Columns: p, tp, fp (at this score), tps, fps (at this score or higher), pos, neg (all
     rows), next_tp, next_fp (at the next lower score; NULL on the lowest), first (the highest
     score). The running sums are taken inside score ranges and shifted by the range totals, so
-    no task sorts more than one range.
+    no task sorts more than one range. Rows without a score (NULL or NaN) are not evaluated, as
+    in the confusion counts. The counts are staged, so the rows themselves are read once.
     """
-    bounds = _score_bounds(preds, p)
-    counts = score_counts(preds, p)
+    counts = stage(score_counts(preds.where(F.col(p).isNotNull() & ~F.isnan(p)), p), "scores")
+    bounds = _score_bounds(counts)
     ranged = Bucketizer(splits=bounds, inputCol="p", outputCol="_range").transform(counts)
 
     whole = Window.partitionBy(F.lit(0))

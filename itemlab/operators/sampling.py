@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from itemlab.config import DEFAULTS, Defaults
 from itemlab.operators.evaluation import is_positive, worst_errors
 from itemlab.plans.ranking import draw_key, rank_by_draw, rank_in_order
+from itemlab.plans.staging import stage
 
 
 def _class_sizes(items: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def stratified_split(
     takes the rest. A class too small to give every part a row makes the job fail.
     """
     if abs(sum(fractions) - 1.0) > 1e-6:
-        raise ValueError(f"fractions must add up to 1, got {sum(fractions):.3f}")
+        raise ValueError(f"the parts {tuple(fractions)} are not a whole")
     ranked = rank_by_draw(items.drop("split"), draw_key(seed, "id"), ["cls"])
     n = F.col("group_size").cast("double")
     ends, end = [], F.lit(0).cast("long")
@@ -70,9 +71,7 @@ def stratified_split(
     short = F.lit(False)
     for start, stop in zip(starts, stops):
         short = short | (stop <= start)
-    failure = F.concat(
-        F.lit("too few items of class '"), F.col("cls"), F.lit("' to give every split one")
-    )
+    failure = F.format_string("class %s: a part would be empty", F.coalesce("cls", F.lit("(none)")))
     checked = F.when(short, F.raise_error(failure).cast("string")).otherwise(split)
     return ranked.withColumn("split", checked).drop("rank", "group_size")
 
@@ -104,7 +103,6 @@ def systematic_sample(items: DataFrame, n: int, order: Sequence[str] = ("id",))
     ranked = rank_in_order(items.select(*order), list(order))
     total = ranked.agg(F.count("*").alias("rows"))
     steps = F.greatest(F.least(F.lit(n).cast("long"), F.col("rows")) - 1, F.lit(0).cast("long"))
-    # n places: small by the caller's choice.
     places = (
         total.where("rows > 0")
         .withColumn("steps", steps)
@@ -117,8 +115,9 @@ def systematic_sample(items: DataFrame, n: int, order: Sequence[str] = ("id",))
         )
         .distinct()
     )
-    keys = ranked.join(F.broadcast(places), "rank", "left_semi").drop("rank")
-    return items.join(F.broadcast(keys), list(order), "left_semi")
+    keys = stage(ranked.join(stage(places, "places"), "rank", "left_semi").drop("rank"), "picked")
+    # Staged, so that Catalyst knows how many they are and joins accordingly.
+    return items.join(keys, list(order), "left_semi")
 
 
 def pick_examples(

@@ -69,7 +69,15 @@ def rank_by_draw(
     if limit is not None:
         limit = limit if isinstance(limit, Column) else F.lit(limit)
         offsets = offsets.withColumn("_limit", limit)
-    keyed = drawn.withColumn("_bucket", bucket).join(stage(offsets, "offsets"), [*by, "_bucket"])
+    # Rows without a group form one too: the join must not lose them.
+    offsets = stage(offsets.toDF(*[f"_of_{c}" for c in offsets.columns]), "offsets")
+    same = F.col("_bucket") == F.col("_of__bucket")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    known = ["_before", "group_size", *(["_limit"] if limit is not None else [])]
+    keyed = drawn.withColumn("_bucket", bucket).join(offsets, same).select(
+        *drawn.columns, "_bucket", *[F.col(f"_of_{c}").alias(c) for c in known]
+    )
     if limit is not None:
         keyed = keyed.where(F.col("_before") < F.col("_limit"))
     inside = Window.partitionBy(*by, "_bucket").orderBy("_draw", tie)

@@ -86,11 +86,10 @@ def _(spark, sf_dir):
     _leak(
         "SELECT w, h, items, cls, round(share, 9) AS share, round(pct, 9) AS pct FROM blocks "
         "ORDER BY items DESC, w DESC, h DESC LIMIT 3",
-        "labelled",
     ),
 )
 def _(spark, sf_dir):
-    blocks = audit.single_class_blocks(labelled_items(spark, sf_dir))
+    blocks = audit.single_class_blocks(document_items(spark, sf_dir))
     return _rounded(audit.top_blocks(blocks), "share", "pct")
 
 

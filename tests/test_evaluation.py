@@ -124,3 +124,11 @@ def test_patience(spark):
     assert tuple(runs.patience_stop(log, patience=3).first()) == (1, 5, 2, True)
     assert tuple(runs.patience_stop(log, patience=5).first()) == (1, None, 7, False)
     assert tuple(runs.best_epoch(log).first()) == (1, 7, 7)
+
+
+def test_rows_without_a_score_are_not_evaluated(spark):
+    rows = [(1, 0.9), (0, 0.1), (1, None), (0, float("nan"))]
+    preds = spark.createDataFrame(rows, "y int, p double")
+    areas = ev.curve_areas(preds).first()
+    assert (areas.roc_auc, areas.average_precision) == (1.0, 1.0)
+    assert max(r.recall for r in ev.pr_curve(preds).collect()) == 1.0

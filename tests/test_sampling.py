@@ -35,7 +35,7 @@ def test_split_sizes_round_half_to_even(spark):
 
 
 def test_a_class_too_small_to_split_fails(spark):
-    with pytest.raises(Exception, match="too few items of class 'b'"):
+    with pytest.raises(Exception, match="class b: a part would be empty"):
         sampling.stratified_split(items_of(spark, {"a": 100, "b": 2})).collect()
     with pytest.raises(ValueError):
         sampling.stratified_split(items_of(spark, {"a": 100}), (0.5, 0.2, 0.2))
@@ -85,3 +85,13 @@ def test_class_weights(spark):
     assert weights["a"] == pytest.approx(1068 / (2 * 700)) and weights["b"] == pytest.approx(1068 / (2 * 368))
     with pytest.raises(Exception, match="no items of class z"):
         sampling.class_weights(items_of(spark, {"a": 7}), ["a", "z"]).collect()
+
+
+def test_rows_without_a_class_are_kept(spark):
+    rows = [(i, ("a", "b", None)[i % 3], f"p{i}") for i in range(60)]
+    items = spark.createDataFrame(rows, "id long, cls string, path string")
+    parts = sampling.stratified_split(items).collect()
+    assert sorted(r.id for r in parts) == list(range(60))
+    assert sorted(r.id for r in sampling.stratified_folds(items).collect()) == list(range(60))
+    assert sampling.balanced_sample(items).count() == 60
+    assert sampling.capped_stratified_sample(items, cap=30).count() == 30

@@ -91,7 +91,7 @@ def test_pixels_and_rules(spark, folder):
     )
     reasons = with_reason(meta.join(contrast, "name"), image_rules()).collect()
     assert {r.name: r.reason for r in reasons} == {
-        "one.png": None, "flat.png": "blank image", "broken.PNG": "cannot be decoded"
+        "one.png": None, "flat.png": "one plain colour", "broken.PNG": "damaged picture"
     }
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from itemlab.config import DEFAULTS
 from itemlab.functions.scalars import extension_of, has_extension, stem_of
 from itemlab.plans.groups import attach
+from itemlab.plans.staging import stage
 
 IGNORED_FOLDERS = ("__MACOSX",)
 
@@ -137,19 +138,25 @@ def output_name(name: Column, md5: Column) -> Column:
 
 
 def assign_output_names(items: DataFrame, hot_rows: int = DEFAULTS.hot_rows) -> DataFrame:
-    """Add `file`: the name inside (split, cls). The first path keeps its own name."""
-    key = F.concat_ws("/", "split", "cls", "name")
-    keyed = items.withColumn("_target", key)
-    groups = (
-        keyed.groupBy("_target")
-        .agg(F.count("*").alias("_n"), F.min(F.struct("path", "md5")).alias("_first"))
-        .where("_n > 1")
-    )
-    marked = attach(keyed, groups, "_target", "_n", hot_rows=hot_rows)
-    keeps = F.col("_n").isNull() | (F.struct("path", "md5") == F.col("_first"))
-    return marked.select(
-        *items.columns,
-        F.when(keeps, F.col("name")).otherwise(output_name(F.col("name"), F.col("md5"))).alias("file"),
-    )
+    """Add `file`: the name inside (split, cls). The first path keeps its own name.
 
+    Later ones get eight digits of their md5, and all digits of their path's md5 where eight do
+    not tell them apart, so that no two files have the same name.
+    """
 
+    def renamed(named: DataFrame, other: Column) -> DataFrame:
+        """`other` as `file` for all but the first path of each name that occurs again."""
+        keyed = named.withColumn("_target", F.concat_ws("/", "split", "cls", "file"))
+        groups = (
+            keyed.groupBy("_target")
+            .agg(F.count("*").alias("_n"), F.min(F.struct("path", "md5")).alias("_first"))
+            .where("_n > 1")
+        )
+        marked = attach(keyed, groups, "_target", "_n", hot_rows=hot_rows)
+        keeps = F.col("_n").isNull() | (F.struct("path", "md5") == F.col("_first"))
+        file = F.when(keeps, F.col("file")).otherwise(other)
+        return marked.select(*items.columns, file.alias("file"))
+
+    short = renamed(items.withColumn("file", F.col("name")), output_name(F.col("name"), F.col("md5")))
+    whole = F.concat(stem_of(F.col("name")), F.lit("_"), F.md5("path"), extension_of(F.col("name")))
+    return renamed(stage(short, "named"), whole)

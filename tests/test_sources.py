@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from itemlab.functions.images import difference_bits, image_features, image_hash
 from itemlab.operators.quality import image_rules, with_reason
 from itemlab.sources import reports
-from itemlab.sources.files import read_item_metadata, scan_items, scan_source
+from itemlab.sources.files import assign_output_names, read_item_metadata, scan_items, scan_source
 from itemlab.streaming.scoring import read_stream
 
 
@@ -133,3 +133,11 @@ def test_a_restarted_stream_writes_each_row_once(spark, tmp_path):
     spark.range(10, 15).write.mode("append").parquet(source)
     assert run() == list(range(15))
     assert run() == list(range(15))
+
+
+def test_names_stay_apart_when_eight_digits_do_not(spark):
+    rows = [(i, "train", "a", f"{folder}/x.png", "x.png", "0123456789" + folder) for i, folder in enumerate("bcd")]
+    items = spark.createDataFrame(rows, "id int, split string, cls string, path string, name string, md5 string")
+    names = {r.path: r.file for r in assign_output_names(items).collect()}
+    assert names["b/x.png"] == "x.png" and names["c/x.png"] == "x_01234567.png"
+    assert len(set(names.values())) == 3

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from itemlab.operators import quality, sampling
-from itemlab.operators.manifest import split_manifest
+from itemlab.operators.manifest import manifest_is_complete, split_manifest
 from itemlab.queries import Registry
 from itemlab.queries.views import differing, draw, with_views
 from itemlab.sources.files import assign_output_names
@@ -208,11 +208,23 @@ def _recursive(body: str, *views: str) -> str:
 
 @query("d09_split_manifest", _recursive(manifest_sql(300), "hashed"))
 def _(spark, sf_dir):
-    items = hashed_items(spark, sf_dir)
+    return _manifest_of(hashed_items(spark, sf_dir))
+
+
+def _manifest_of(items):
     unreadable = [(F.col("mode") == "CORRUPT", "too short")]
     return split_manifest(quality.with_reason(items, unreadable), majority="en", limit=300)
 
 
+@query(
+    "d09_manifest_is_complete",
+    with_views('SELECT count(*) AS items, count(*) AS "rows", 0::BIGINT AS not_once FROM items', "items"),
+)
+def _(spark, sf_dir):
+    items = hashed_items(spark, sf_dir)
+    return manifest_is_complete(_manifest_of(items), items)
+
+
 @query(
     "d10_epoch_shuffle",
     with_views(

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from itemlab.config import DEFAULTS
+from itemlab.plans.staging import stage
+
+#: Groups that are broadcast at most, one short row each.
+MOST_HOT = 20_000
 
 
 def attach(
@@ -20,13 +24,16 @@ def attach(
     """Left-join one row of facts per group onto the group's rows.
 
     `groups` holds `key`, its row count `size` and the facts. A group of at least `hot_rows`
-    rows would send all of them to one task, so such groups are broadcast instead: there are at
-    most (number of rows / hot_rows) of them, so that side stays small for any input. Their
-    rows leave the key out of the shuffle join and are spread by `row_id`. Keys are strings or
-    numbers from 0 on; rows with a NULL key get NULL facts.
+    rows would send all of them to one task, so such groups are broadcast instead. Their number
+    is checked: where there are more than MOST_HOT, only larger groups count as hot, and the
+    others go the way of all groups. Rows of hot groups leave the key out of the shuffle join and
+    are spread by `row_id`. Keys are strings or numbers from 0 on; rows with a NULL key get NULL
+    facts.
     """
     facts = [c for c in groups.columns if c != key]
-    packed = groups.select(F.col(key).alias("_key"), F.struct(*facts).alias("_f"))
+    packed = stage(groups.select(F.col(key).alias("_key"), F.struct(*facts).alias("_f")), "facts")
+    while packed.where(F.col(f"_f.{size}") >= hot_rows).count() > MOST_HOT:
+        hot_rows *= 4
     hot = packed.where(F.col(f"_f.{size}") >= hot_rows)
     cold = packed.where(F.col(f"_f.{size}") < hot_rows)
 

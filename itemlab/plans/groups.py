@@ -32,7 +32,7 @@ def attach(
     """
     facts = [c for c in groups.columns if c != key]
     packed = stage(groups.select(F.col(key).alias("_key"), F.struct(*facts).alias("_f")), "facts")
-    while packed.where(F.col(f"_f.{size}") >= hot_rows).count() > MOST_HOT:
+    while (found := packed.where(F.col(f"_f.{size}") >= hot_rows).count()) > MOST_HOT:
         hot_rows *= 4
     hot = packed.where(F.col(f"_f.{size}") >= hot_rows)
     cold = packed.where(F.col(f"_f.{size}") < hot_rows)
@@ -43,11 +43,12 @@ def attach(
     else:
         nowhere = -1 - F.xxhash64(row_id).bitwiseAND(F.lit((1 << 62) - 1))
 
-    first = rows.withColumn("_own", F.col(key)).join(
-        F.broadcast(hot.select(F.col("_key").alias("_own"), F.col("_f").alias("_hot"))),
-        "_own",
-        "left",
-    )
+    first = rows.withColumn("_own", F.col(key))
+    if found:
+        named = hot.select(F.col("_key").alias("_own"), F.col("_f").alias("_hot"))
+        first = first.join(F.broadcast(named), "_own", "left")
+    else:
+        first = first.withColumn("_hot", F.lit(None).cast(packed.schema["_f"].dataType))
     keeps_key = F.col("_hot").isNull() & F.col("_own").isNotNull()
     second = (
         first.withColumn("_key", F.when(keeps_key, F.col("_own")).otherwise(nowhere))

@@ -20,47 +20,56 @@ TEXT_FILES = (".txt",)
 
 
 def _as_files(items, *folders):
-    """The items' paths as text files, one folder level per column."""
+    """The items' paths as text files, one folder level per column, one file in order per folder."""
     path = scratch_path(items.sparkSession, "files")
-    items.select(F.col("path").alias("value"), *folders).write.partitionBy(*folders).text(path)
+    lines = items.select(F.col("path").alias("value"), *folders)
+    names = [c for c in lines.columns if c != "value"]
+    ordered = lines.repartition(*names).sortWithinPartitions(*names, "value")
+    ordered.write.partitionBy(*names).text(path)
     return path
 
 
+FILE_SQL = "1::BIGINT AS files, sum(strlen(path) + 1)::BIGINT AS bytes"
+
+
 @query(
     "a01_scan_items",
-    with_views("SELECT DISTINCT split, cls, true AS txt FROM items", "items"),
+    with_views(f"SELECT split, cls, {FILE_SQL}, true AS txt FROM items GROUP BY split, cls", "items"),
 )
 def _(spark, sf_dir):
     root = _as_files(document_items(spark, sf_dir), "split", "cls")
     found = scan_items(spark, root, TEXT_FILES)
-    return found.groupBy("split", "cls").agg(F.bool_and(F.col("name").endswith(".txt")).alias("txt"))
+    return found.groupBy("split", "cls").agg(
+        F.count("*").alias("files"),
+        F.sum("size").alias("bytes"),
+        F.bool_and(F.col("name").endswith(".txt")).alias("txt"),
+    )
 
 
 @query(
     "a02_scan_source",
-    with_views("SELECT DISTINCT 'all' AS split, cls FROM labelled", "labelled"),
+    with_views(f"SELECT 'all' AS split, cls, {FILE_SQL} FROM labelled GROUP BY cls", "labelled"),
 )
 def _(spark, sf_dir):
     folder = F.when(F.col("cls") == "good", "usable").otherwise("junk").alias("folder")
     root = _as_files(labelled_items(spark, sf_dir).select("path", folder), "folder")
     folders = {"good": "usable", "poor": "junk"}
-    return scan_source(spark, root, folders, TEXT_FILES).select("split", "cls").distinct()
+    found = scan_source(spark, root, folders, TEXT_FILES)
+    return found.groupBy("split", "cls").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
 @query(
     "a03_read_item_metadata",
     with_views(
-        """SELECT DISTINCT split, cls, 'CORRUPT' AS mode, 0 AS w, 0 AS h, true AS loadable, 32 AS md5_digits
-        FROM items""",
+        """SELECT split, cls, 'CORRUPT' AS mode, 0 AS w, 0 AS h, true AS loadable,
+          md5(string_agg(path, chr(10) ORDER BY path) || chr(10)) AS md5 FROM items GROUP BY split, cls""",
         "items",
     ),
 )
 def _(spark, sf_dir):
     root = _as_files(document_items(spark, sf_dir), "split", "cls")
     found = read_item_metadata(spark, scan_items(spark, root, TEXT_FILES), root, TEXT_FILES)
-    return found.select(
-        "split", "cls", "mode", "w", "h", "loadable", F.length("md5").alias("md5_digits")
-    ).distinct()
+    return found.select("split", "cls", "mode", "w", "h", "loadable", "md5")
 
 
 @query("a04_items_from_table", with_views("SELECT * FROM items", "items"))

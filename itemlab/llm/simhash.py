@@ -193,12 +193,20 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", crowded: i
     marked = stage(with_fingerprints(docs.select(*key, F.col(text).alias("_words")), "_words", ["_id", "_key"]), "fingerprints")
     found = marked.groupBy("_id", "_key", "fp").agg(F.count("*").alias("_n"))
     found = stage(found.join(classes(marked, "_id", crowded), "fp"), "simhash-members")
+    return first_of_each(docs, found, id, text)
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, id: str, text: str) -> DataFrame:
+    """The rows of `docs` that come first in their group; `found` has (_id, _key, root) and the count _n.
+
+    `_key` is the hash of the text.
+    """
     first = found.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_key")).alias("_first"))
     judged = found.join(first, "root")
     stays = F.col("_first._id").eqNullSafe(F.col("_id")) & (F.col("_first._key") == F.col("_key"))
-    gone = stage(judged.where(~stays).select(F.col("_id").alias("_gone"), F.col("_key").alias("_gone_key")), "simhash-gone")
+    gone = stage(judged.where(~stays).select(F.col("_id").alias("_gone"), F.col("_key").alias("_gone_key")), "copies-gone")
     again = judged.where(stays & (F.col("_n") > 1))
-    again = stage(again.select(F.col("_id").alias("_again"), F.col("_key").alias("_again_key")), "simhash-again")
+    again = stage(again.select(F.col("_id").alias("_again"), F.col("_key").alias("_again_key")), "copies-again")
 
     named = [f"own_{c}" for c in docs.columns]
     rows = docs.toDF(*named).withColumns({"_id": F.col(f"own_{id}"), "_key": F.sha2(F.coalesce(F.col(f"own_{text}"), F.lit("")), 256)})

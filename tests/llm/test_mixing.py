@@ -1,4 +1,5 @@
 from collections import Counter, defaultdict
+from math import comb, prod
 
 import numpy as np
 import pytest
@@ -92,3 +93,17 @@ def test_cut_blocks_keeps_the_text_between():
     assert mixing.cut_blocks(text, [0, 1, 2, 3], 2) == text
     assert mixing.cut_blocks(text, [2, 0], 2) == "a  b\ne f"
     assert mixing.cut_blocks(text, [1, 2], 2) == "c d\te f"
+
+
+@pytest.mark.parametrize("good, bad, n", [(3, 2 * 10**9 - 3, 10**8), (5, 7, 6), (40, 3, 20)])
+def test_draws_have_the_exact_chances_at_every_size(good, bad, n):
+    rng, times = np.random.default_rng(1), 20_000
+    found = Counter(mixing._drawn(rng, good, bad, n) for _ in range(times))
+    chances = {}
+    for k in range(max(0, n - bad), min(good, n) + 1):
+        # Ways to place the k drawn and the other ones, over all ways to place them.
+        ways = comb(good, k) * prod(n - i for i in range(k)) * prod(good + bad - n - i for i in range(good - k))
+        chances[k] = ways / prod(good + bad - i for i in range(good))
+    assert abs(sum(chances.values()) - 1) < 1e-9 and set(found) <= set(chances)
+    for k, p in chances.items():
+        assert abs(found[k] - times * p) <= 5 * (times * p * (1 - p)) ** 0.5 + 1

@@ -2,9 +2,9 @@
 
 Three base kinds are found by pattern wherever they stand: assignments to a password-like name,
 access keys, and long runs of hexadecimal digits. Besides, every long mixed token is a candidate.
-A candidate's hash is followed through the whole corpus: how many repositories (documents) and how
-many owners (sources) have it. What many owners share is an example that was copied about; what
-one owner has to himself is live-looking, and its spans are added to the base ones as `owned`.
+A candidate's hash is followed through the whole corpus: how many owners (sources) have it. What many
+owners share is an example that was copied about; what one owner has to himself, in however many
+documents, is live-looking, and its spans are added to the base ones as `owned`.
 
 Spans come from column functions alone: the pieces between the matches and the matches themselves
 alternate, so their lengths give every start. Positions count code points.
@@ -84,7 +84,7 @@ def _joined(spans: Column) -> Column:
 def scan(docs: DataFrame, text: str, owner: str, keep: list[str], most_owners: int = MOST_OWNERS) -> DataFrame:
     """The columns `keep`, `base_spans` and `all_spans` for every row of `docs`.
 
-    A row is a repository of its own; rows without an owner count as one owner. Spans are
+    Rows without an owner count as one owner. Spans are
     (start, kind number, stop). Rows that may have candidates are written down with a number for
     each; all others go straight through, so the bulk of the texts is neither written nor moved.
     """
@@ -129,8 +129,8 @@ def scan(docs: DataFrame, text: str, owner: str, keep: list[str], most_owners: i
 def find_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", owner: str = "source") -> DataFrame:
     """(id, n_assign, n_access, n_hex, base_sha256, spans) for every document.
 
-    NULL texts count as empty and have no spans. Repeated rows are all returned, and each is a
-    repository; one NULL owner stands for all documents without one.
+    NULL texts count as empty and have no spans. Repeated rows are all returned; one
+    NULL owner stands for all documents without one.
     """
 
     def number(kind: int) -> Column:

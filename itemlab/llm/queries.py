@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from itemlab.llm import (
+    compression,
     html_text,
     langid,
+    middle,
     mixing,
     packing,
     quality,
     secrets,
     simhash,
+    spelling,
     topk,
     url_filters,
     warc,
@@ -124,3 +127,43 @@ def _(spark, sf_dir):
 @query("op10_language")
 def _(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_fill_in_middle",
+    """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS h FROM documents),
+    u AS (SELECT *, CASE WHEN t = '' THEN [] ELSE regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') END AS units,
+      ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+      ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+    c AS (SELECT doc_id, t, len(units) AS n, units, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a,
+      greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+      CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain'
+        WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+    p AS (SELECT doc_id, t, n, form, array_to_string(list_slice(units, 1, a), '') AS x,
+      CASE WHEN b > a THEN array_to_string(list_slice(units, a + 1, b), '') ELSE '' END AS y,
+      CASE WHEN n > b THEN array_to_string(list_slice(units, b + 1, n), '') ELSE '' END AS z FROM c)
+    SELECT doc_id, n::BIGINT AS n, form,
+      CASE WHEN form <> 'plain' THEN length(x)::BIGINT END AS prefix_chars,
+      CASE WHEN form <> 'plain' THEN length(y)::BIGINT END AS middle_chars,
+      sha256(CASE form WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y
+        WHEN 'spm' THEN '<S>' || z || '<P>' || x || '<M>' || y ELSE t END) AS output_sha256,
+      sha256(t) AS restored_sha256 FROM p""",
+)
+def _(spark, sf_dir):
+    made = middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    restored = middle.restore(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"),
+    )
+
+
+@query("op12_spelling_variants")
+def _(spark, sf_dir):
+    found = spelling.group_spellings(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op13_quality_classifier")
+def _(spark, sf_dir):
+    return compression.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

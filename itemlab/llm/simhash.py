@@ -189,8 +189,9 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", crowded: i
     Decisions are made on (id, hash of the text) alone, so texts are read twice and not written
     down. Rows that agree in both are repeats, of which one stays.
     """
-    key = [F.col(id).alias("_id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("_key")]
-    marked = stage(with_fingerprints(docs.select(*key, F.col(text).alias("_words")), "_words", ["_id", "_key"]), "fingerprints")
+    name, words = F.col(f"`{id}`"), F.col(f"`{text}`")
+    key = [name.alias("_id"), F.sha2(F.coalesce(words, F.lit("")), 256).alias("_key")]
+    marked = stage(with_fingerprints(docs.select(*key, words.alias("_words")), "_words", ["_id", "_key"]), "fingerprints")
     found = marked.groupBy("_id", "_key", "fp").agg(F.count("*").alias("_n"))
     found = stage(found.join(classes(marked, "_id", crowded), "fp"), "simhash-members")
     return first_of_each(docs, found, id, text)
@@ -209,14 +210,14 @@ def first_of_each(docs: DataFrame, found: DataFrame, id: str, text: str) -> Data
     again = stage(again.select(F.col("_id").alias("_again"), F.col("_key").alias("_again_key")), "copies-again")
 
     named = [f"own_{c}" for c in docs.columns]
-    rows = docs.toDF(*named).withColumns({"_id": F.col(f"own_{id}"), "_key": F.sha2(F.coalesce(F.col(f"own_{text}"), F.lit("")), 256)})
+    rows = docs.toDF(*named).withColumns({"_id": F.col(f"`own_{id}`"), "_key": F.sha2(F.coalesce(F.col(f"`own_{text}`"), F.lit("")), 256)})
     # What goes grows with the corpus, so it is shuffled like the documents at every size.
     left = rows.join(gone.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_gone_key")), "left_anti")
     if not again.isEmpty():
         same = F.col("_id").eqNullSafe(F.col("_again")) & (F.col("_key") == F.col("_again_key"))
         repeats = left.join(again, same, "left_semi").dropDuplicates(["_id", "_key"])
         left = left.join(again, same, "left_anti").unionByName(repeats)
-    return left.select(*[F.col(n).alias(c) for n, c in zip(named, docs.columns)])
+    return left.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(named, docs.columns)])
 
 
 def hex_fingerprint(fp: str = "fp") -> Column:

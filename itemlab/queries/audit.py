@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from itemlab.functions.images import image_features, text_as_image
 from itemlab.operators import audit, sampling
-from itemlab.operators.learning import source_leak
+from itemlab.operators.learning import fold_weights, leak_rows, source_leak
 from itemlab.plans.staging import scratch_path, spread, stage
 from itemlab.queries import Registry
 from itemlab.queries.views import differing, draw, with_views
@@ -189,15 +189,49 @@ def _(spark, sf_dir):
     return features.unionByName(centred)
 
 
-@query("e10_source_leak")
-def _(spark, sf_dir):
+def _leak_features(spark, sf_dir):
+    """Content-free numbers of every vector, whole and of its middle half."""
     vectors = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("id"),
-        F.when(F.col("label") < 5, "low").otherwise("high").alias("cls"),
-        "embedding",
+        F.col("vec_id").alias("id"), F.when(F.col("label") < 5, "low").otherwise("high").alias("cls"), "embedding"
     )
-    features = stage(audit.vector_features(vectors, "embedding").drop("embedding"), "features")
-    return source_leak(features, trees=10, depth=5)
+    n = F.size("embedding")
+    framings = {"squash": F.col("embedding"), "centre_crop": F.slice("embedding", (n / 4 + 1).cast("int"), (n / 2).cast("int"))}
+    parts = [
+        audit.vector_features(vectors.withColumn("embedding", part), "embedding").withColumn("framing", F.lit(name)).drop("embedding")
+        for name, part in framings.items()
+    ]
+    return stage(parts[0].unionByName(parts[1]), "features")
+
+
+LEAK_ROWS_SQL = f"""
+  v AS (SELECT vec_id AS id, CASE WHEN label < 5 THEN 'low' ELSE 'high' END AS cls FROM embeddings),
+  sized AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY {draw(42, 'id')}, id) AS rank,
+    count(*) OVER (PARTITION BY cls) AS n_cls, count(*) OVER () AS n FROM v),
+  leak_rows AS (SELECT id, cls, CAST((rank - 1) % 5 AS INTEGER) AS fold FROM sized
+    WHERE rank <= CASE WHEN n > 2000 THEN round_even(2000.0::DOUBLE * n_cls / n, 0) ELSE n_cls END)
+"""
+
+
+@query("e10_leak_rows", f"WITH {LEAK_ROWS_SQL} SELECT * FROM leak_rows")
+def _(spark, sf_dir):
+    return leak_rows(_leak_features(spark, sf_dir))
+
+
+@query(
+    "e10_leak_weights",
+    f"""WITH {LEAK_ROWS_SQL},
+      outside AS (SELECT f.fold, r.cls, count(*) AS items FROM (SELECT DISTINCT fold FROM leak_rows) f
+        JOIN leak_rows r ON r.fold <> f.fold GROUP BY ALL)
+    SELECT fold, cls, items, round(sum(items) OVER (PARTITION BY fold) / (count(*) OVER (PARTITION BY fold) * items), 9) AS weight
+    FROM outside""",
+)
+def _(spark, sf_dir):
+    return _rounded(fold_weights(leak_rows(_leak_features(spark, sf_dir))), "weight")
+
+
+@query("e10_source_leak")
+def _(spark, sf_dir):
+    return source_leak(_leak_features(spark, sf_dir), framing="framing")
 
 
 def checks_sql(source: str) -> str:

@@ -9,6 +9,7 @@ from itemlab.operators import audit, sampling
 from itemlab.operators.learning import fold_weights, leak_rows, source_leak
 from itemlab.plans.staging import scratch_path, spread, stage
 from itemlab.queries import Registry
+from itemlab.queries.dedup import FINGERPRINT_SQL
 from itemlab.queries.views import differing, draw, with_views
 from itemlab.sources.reports import read_report_json
 from itemlab.sources.tables import document_items, hashed_items, labelled_items, table
@@ -242,6 +243,7 @@ def checks_sql(source: str) -> str:
   near AS (SELECT a.split <> b.split AS s, a.cls <> b.cls AS c FROM {source} a JOIN {source} b
     ON a.id < b.id AND a.md5 <> b.md5 WHERE {differing('a', 'b')} <= 25),
   prefixes AS (SELECT cls, lower(substr(name, 1, 6)) AS prefix, count(*) AS n FROM {source} GROUP BY ALL),
+  {FINGERPRINT_SQL.format(source=source).strip()},
   checks AS (
     SELECT 'counts' AS "check", split || '/' || cls AS key, count(*)::DOUBLE AS value FROM {source} GROUP BY split, cls
     UNION ALL SELECT 'size_leak', 'balanced_accuracy', balanced_accuracy FROM leak
@@ -256,7 +258,10 @@ def checks_sql(source: str) -> str:
     UNION ALL SELECT 'duplicates', 'across_splits', (SELECT count(*) FROM g WHERE s > 1) + (SELECT count(*) FROM near WHERE s)
     UNION ALL SELECT 'duplicates', 'across_classes', (SELECT count(*) FROM g WHERE c > 1) + (SELECT count(*) FROM near WHERE c)
     UNION ALL SELECT 'quality', key, value FROM ({QUALITY_SQL.format(source=source)})
-    UNION ALL SELECT 'filenames', cls, round(max(n) / sum(n), 9) FROM prefixes GROUP BY cls)
+    UNION ALL SELECT 'filenames', cls, round(max(n) / sum(n), 9) FROM prefixes GROUP BY cls
+    UNION ALL SELECT 'top_blocks', w || 'x' || h || '/' || cls, items
+      FROM (SELECT * FROM blocks ORDER BY items DESC, w DESC, h DESC LIMIT 3)
+    UNION ALL SELECT 'fingerprint', fingerprint, (SELECT count(*) FROM {source}) FROM l0)
 """
 
 
@@ -318,7 +323,9 @@ def _summary_sql(name: str, source: str) -> str:
     """One saved report in SQL; a subquery of its own, since each names its steps alike."""
     return f"""(WITH {checks_sql(source)}, {ISSUES_SQL}
       SELECT '{name}' AS target, CAST(n AS BIGINT) AS n_items, balanced_accuracy,
-        (SELECT plain_accuracy FROM leak) AS plain_accuracy, block_pct, 50.0::DOUBLE AS chance,
+        (SELECT plain_accuracy FROM leak) AS plain_accuracy, block_pct, NULL::DOUBLE AS content_free, 50.0::DOUBLE AS chance,
+        'split' AS mode, (SELECT fingerprint FROM l0) AS fingerprint,
+        (SELECT CAST(least(count(*), 3) AS INTEGER) FROM blocks) AS n_blocks,
         CASE WHEN (SELECT count(*) FROM issues WHERE severity = 'FAIL') > 0 THEN 'FAIL'
           WHEN (SELECT count(*) FROM issues) > 0 THEN 'WARN' ELSE 'PASS' END AS verdict,
         (SELECT CAST(count(*) AS INTEGER) FROM issues) AS n_issues,

@@ -137,7 +137,8 @@ def _(spark, sf_dir):
 
 
 FINGERPRINT_SQL = """
-  leaf AS (SELECT sha256(path || chr(9) || md5 || chr(10)) AS d FROM {source}),
+  lines AS (SELECT sha256(path || chr(9) || md5 || chr(10)) AS line, count(*) AS n FROM {source} GROUP BY 1),
+  leaf AS (SELECT sha256(line || ':' || n) AS d FROM lines),
   l9 AS (SELECT substr(d, 1, 9) AS p, sha256(array_to_string(list_sort(list(d)), '')) AS d FROM leaf GROUP BY 1),
   l6 AS (SELECT substr(p, 1, 6) AS p, sha256(array_to_string(list_sort(list(d)), '')) AS d FROM l9 GROUP BY 1),
   l3 AS (SELECT substr(p, 1, 3) AS p, sha256(array_to_string(list_sort(list(d)), '')) AS d FROM l6 GROUP BY 1),

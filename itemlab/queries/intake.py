@@ -17,24 +17,36 @@ registry = Registry()
 query = registry.query
 
 TEXT_FILES = (".txt",)
+PATHS_OF_A_DIGIT = 4096
 
 
 def _as_files(items, *folders):
-    """The items' paths as text files, one folder level per column, one file in order per folder."""
+    """The items' paths as text files, one folder level per column.
+
+    A folder's paths are dealt by their digest over more files the more items there are, so that
+    no file grows with the table; a file has its paths in order.
+    """
     path = scratch_path(items.sparkSession, "files")
-    lines = items.select(F.col("path").alias("value"), *folders)
+    digits = len(f"{items.count() // PATHS_OF_A_DIGIT:x}")
+    part = F.substring(F.md5("path"), 1, digits).alias("part")
+    lines = items.select(F.col("path").alias("value"), *folders, part)
     names = [c for c in lines.columns if c != "value"]
     ordered = lines.repartition(*names).sortWithinPartitions(*names, "value")
     ordered.write.partitionBy(*names).text(path)
     return path
 
 
-FILE_SQL = "1::BIGINT AS files, sum(strlen(path) + 1)::BIGINT AS bytes"
+def _part(source):
+    return f"substr(md5(path), 1, (SELECT length(to_hex(count(*) // {PATHS_OF_A_DIGIT})) FROM {source}))"
+
+
+def _file_sql(source):
+    return f"count(DISTINCT {_part(source)}) AS files, sum(strlen(path) + 1)::BIGINT AS bytes"
 
 
 @query(
     "a01_scan_items",
-    with_views(f"SELECT split, cls, {FILE_SQL}, true AS txt FROM items GROUP BY split, cls", "items"),
+    with_views(f"SELECT split, cls, {_file_sql('items')}, true AS txt FROM items GROUP BY split, cls", "items"),
 )
 def _(spark, sf_dir):
     root = _as_files(document_items(spark, sf_dir), "split", "cls")
@@ -48,7 +60,7 @@ def _(spark, sf_dir):
 
 @query(
     "a02_scan_source",
-    with_views(f"SELECT 'all' AS split, cls, {FILE_SQL} FROM labelled GROUP BY cls", "labelled"),
+    with_views(f"SELECT 'all' AS split, cls, {_file_sql('labelled')} FROM labelled GROUP BY cls", "labelled"),
 )
 def _(spark, sf_dir):
     folder = F.when(F.col("cls") == "good", "usable").otherwise("junk").alias("folder")
@@ -61,15 +73,17 @@ def _(spark, sf_dir):
 @query(
     "a03_read_item_metadata",
     with_views(
-        """SELECT split, cls, 'CORRUPT' AS mode, 0 AS w, 0 AS h, true AS loadable,
-          md5(string_agg(path, chr(10) ORDER BY path) || chr(10)) AS md5 FROM items GROUP BY split, cls""",
+        f"""SELECT split, cls, 'CORRUPT' AS mode, 0 AS w, 0 AS h, true AS loadable, NULL::VARCHAR AS format,
+          'the first bytes are those of no known format' AS error,
+          md5(string_agg(path, chr(10) ORDER BY path) || chr(10)) AS md5
+        FROM items GROUP BY split, cls, {_part('items')}""",
         "items",
     ),
 )
 def _(spark, sf_dir):
     root = _as_files(document_items(spark, sf_dir), "split", "cls")
     found = read_item_metadata(spark, scan_items(spark, root, TEXT_FILES), root, TEXT_FILES)
-    return found.select("split", "cls", "mode", "w", "h", "loadable", "md5")
+    return found.select("split", "cls", "mode", "w", "h", "loadable", "format", "error", "md5")
 
 
 @query("a04_items_from_table", with_views("SELECT * FROM items", "items"))

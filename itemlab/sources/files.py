@@ -89,18 +89,39 @@ def scan_source(
     )
 
 
+#: How the files of a format begin, in hexadecimal; a dot stands for any digit.
+SIGNATURES = {
+    "PNG": "89504E470D0A1A0A",
+    "JPEG": "FFD8FF",
+    "GIF": "47494638",
+    "BMP": "424D",
+    "WEBP": "52494646........57454250",
+}
+
+
+def format_of(content: Column) -> Column:
+    """The image format that a file's first bytes tell, NULL for none of SIGNATURES."""
+    head = F.hex(F.substring(content, 1, 12))
+    found = F.lit(None).cast("string")
+    for name, start in SIGNATURES.items():
+        found = F.when(head.rlike(f"^{start}"), name).otherwise(found)
+    return found
+
+
 def read_item_metadata(
     spark: SparkSession, items: DataFrame, root: str, extensions: Sequence[str] = DEFAULTS.extensions
 ) -> DataFrame:
-    """Add md5, w, h, mode and loadable to scanned image items.
+    """Add md5, w, h, mode, format, loadable and error to scanned image items.
 
-    A file that cannot be decoded stays as a row: mode 'CORRUPT', w and h 0.
+    A file that cannot be decoded stays as a row: mode 'CORRUPT', w and h 0, and an error that says
+    whether it is of no known format or broken. The format is that of the first bytes, whatever
+    the name says. Files without a byte are not listed: Spark's file scans leave them out.
     """
     contents = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(root)
-        .select("path", F.md5("content").alias("md5"))
+        .select("path", F.md5("content").alias("md5"), format_of(F.col("content")).alias("format"))
     )
     pictures = (
         spark.read.format("image")
@@ -127,7 +148,12 @@ def read_item_metadata(
             F.when(known, F.coalesce(modes[F.col("_c")], F.lit("OTHER")))
             .otherwise("CORRUPT")
             .alias("mode"),
+            "format",
             has_extension(F.col("path"), extensions).alias("loadable"),
+            F.when(known, None)
+            .when(F.col("format").isNull(), "the first bytes are those of no known format")
+            .otherwise(F.concat("format", F.lit(" data that cannot be decoded")))
+            .alias("error"),
         )
     )
 

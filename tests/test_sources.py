@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from itemlab.functions.images import difference_bits, image_features, image_hash
 from itemlab.operators.quality import image_rules, with_reason
 from itemlab.sources import reports
+from itemlab.operators.audit import quality_audit
 from itemlab.sources.files import assign_output_names, read_item_metadata, scan_items, scan_source
 from itemlab.streaming.scoring import read_stream
 
@@ -141,3 +142,22 @@ def test_names_stay_apart_when_eight_digits_do_not(spark):
     names = {r.path: r.file for r in assign_output_names(items).collect()}
     assert names["b/x.png"] == "x.png" and names["c/x.png"] == "x_01234567.png"
     assert len(set(names.values())) == 3
+
+
+def test_formats_and_errors_come_from_the_first_bytes(spark, tmp_path):
+    heads = {
+        "a.png": b"\x89PNG\r\n\x1a\n", "b.png": b"\xff\xd8\xff\xe0 but no picture", "c.png": b"GIF89a", "d.png": b"BM1234",
+        "e.png": b"RIFF\x00\x01\x02\x03WEBPVP8 ", "f.png": b"RIFF\x00\x01\x02\x03WAVE",
+    }
+    (tmp_path / "x").mkdir()
+    for name, head in heads.items():
+        (tmp_path / "x" / name).write_bytes(head)
+    found = read_item_metadata(spark, scan_items(spark, str(tmp_path)), str(tmp_path)).collect()
+    assert {r.name: r.format for r in found} == dict(
+        zip(heads, ["PNG", "JPEG", "GIF", "BMP", "WEBP", None])
+    )
+    said = {r.name: r.error for r in found}
+    assert all(r.mode == "CORRUPT" and r.error for r in found)
+    assert "no known format" in said["f.png"] and said["b.png"].startswith("JPEG")
+    audited = {r.key: r.value for r in quality_audit(spark.createDataFrame(found)).collect()}
+    assert audited["format.PNG"] == 1 and audited["format.unknown"] == 1

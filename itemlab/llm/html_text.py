@@ -39,7 +39,7 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("nav header footer aside form menu dialog button fieldset label head".split())
-ATTRIBUTE = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 CLUTTER = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar "
     "comment comments disqus replies respond cookie cookies consent gdpr notice alert popup modal overlay "
@@ -54,15 +54,46 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 LAYOUT = re.compile(r"\b(?:has|with|no|without)[-_][a-z]+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT = frozenset(("article", "main"))
+#: Parts of a name that say nothing about what the element holds.
+BOXES = frozenset(
+    "area bar block body box button buttons card container content entry form group inner item items link links list outer "
+    "panel post posts row section site slot text title top unit wrap wrapper".split()
+)
+READERS = frozenset("comment comments disqus replies reply".split())
 
 
-def _clutter(attributes: str) -> bool:
+def _names(attributes: str) -> Iterator[tuple[list[str], bool]]:
+    """The parts of each name that an element has, and whether the name is a class."""
     for found in ATTRIBUTE.finditer(attributes):
-        value = CAMEL.sub("-", found[1] or found[2] or found[3] or "").lower()
-        value = LAYOUT.sub("", value)
-        if not CLUTTER.isdisjoint(NAME_PARTS.findall(value)):
+        value = LAYOUT.sub("", CAMEL.sub("-", found[2] or found[3] or found[4] or "").lower())
+        is_class = found[1].lower() == "class"
+        for name in value.split() if is_class else [value]:
+            yield NAME_PARTS.findall(name), is_class
+
+
+def _called(parts: list[str], words: frozenset[str]) -> bool:
+    """Whether a name has one of the words and no part beside them that means something else."""
+    return not words.isdisjoint(parts) and all(p in words or p in CLUTTER or p in BOXES for p in parts)
+
+
+def _clutter(attributes: str, name: str = "", marked: bool = False) -> bool:
+    """Whether an element's names say that it is no content.
+
+    Outside the marked region one word of the list is enough. Inside it the whole name must say
+    so (`ad-box`, not `social-history`), and headings are content. An article has to be called a
+    reader's comment; one inside the marked region also goes if all its classes are clutter.
+    """
+    if HIDDEN.search(attributes):
+        return True
+    if name == "article":
+        found = list(_names(attributes))
+        classes = [parts for parts, is_class in found if is_class]
+        if any(_called(parts, READERS) for parts, _ in found):
             return True
-    return bool(HIDDEN.search(attributes))
+        return marked and bool(classes) and all(_called(parts, CLUTTER) for parts in classes)
+    if not marked:
+        return any(not CLUTTER.isdisjoint(parts) for parts, _ in _names(attributes))
+    return name not in HEADINGS and any(_called(parts, CLUTTER) for parts, _ in _names(attributes))
 
 
 class Piece:
@@ -75,54 +106,82 @@ class Piece:
         self.left_out, self.cluttered, self.marked = left_out > 0, cluttered > 0, marked > 0
 
 
-def pieces(page: str) -> Iterator[Piece]:
-    """The page's pieces. An <article> or <main> ends what was left open before it."""
-    # Open elements, and how they are left out: 0 not, 1 by what they are, 2 by what they are called.
-    stack: list[tuple[str, int]] = []
-    left_out = cluttered = marked = 0
-    at = 0
+class Open:
+    """The open elements of a page: counts beside the stack, so that a step never walks through it."""
+
+    def __init__(self) -> None:
+        # Elements, and how they are left out: 0 not, 1 by what they are, 2 by what they are called.
+        self.stack: list[tuple[str, int]] = []
+        self.blocks: list[str] = []
+        self.named: Counter = Counter()
+        self.left_out = self.cluttered = self.marked = 0
 
-    def block() -> str:
-        return next((name for name, _ in reversed(stack) if name not in INLINE), "body")
+    def push(self, name: str, out: int) -> None:
+        self.stack.append((name, out))
+        self._count(name, out, 1)
+        if name not in INLINE:
+            self.blocks.append(name)
 
+    def pop(self) -> str:
+        name, out = self.stack.pop()
+        self._count(name, out, -1)
+        if name not in INLINE:
+            self.blocks.pop()
+        return name
+
+    def _count(self, name: str, out: int, by: int) -> None:
+        self.named[name] += by
+        self.left_out += by * (out > 0)
+        self.cluttered += by * (out > 1)
+        self.marked += by * (name in CONTENT)
+
+    def close(self, name: str) -> None:
+        """The end tag of `name` closes all that is open inside it; without a start it says nothing."""
+        if self.named[name]:
+            while self.pop() != name:
+                pass
+
+    def piece(self, kind: str, name: str, text: str = "") -> Piece:
+        return Piece(kind, name, text, self.left_out, self.cluttered, self.marked)
+
+    def text(self, text: str) -> Piece:
+        return self.piece("text", self.blocks[-1] if self.blocks else "body", text)
+
+
+def pieces(page: str) -> Iterator[Piece]:
+    """The page's pieces. An <article> or <main> ends what was left open before it.
+
+    The work grows with the length of the page, whatever is left open: each element is opened and
+    closed once.
+    """
+    open_ = Open()
+    at = 0
     for found in TOKEN.finditer(page):
         if found.start() > at:
-            yield Piece("text", block(), page[at : found.start()], left_out, cluttered, marked)
+            yield open_.text(page[at : found.start()])
         at = found.end()
         if not found[3]:
             continue
         name, closing = found[3].lower(), bool(found[2])
-        inside = marked
         if closing:
-            yield Piece("tag", name, "", left_out, cluttered, inside)
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                for gone, out in stack[depth:]:
-                    left_out -= out > 0
-                    cluttered -= out > 1
-                    marked -= gone in CONTENT
-                del stack[depth:]
+            yield open_.piece("tag", name)
+            open_.close(name)
         elif name not in VOID and not found[4].endswith("/"):
-            if name in CONTENT and not marked:
-                stack.clear()
-                left_out = cluttered = 0
+            inside = open_.marked
+            if name in CONTENT and not inside:
+                open_ = Open()
             elif name == "p" or name in HEADINGS or name == "li":
                 # These end a paragraph or item that was left open.
-                while stack and (stack[-1][0] in INLINE or stack[-1][0] in ("p", name)):
-                    out = stack.pop()[1]
-                    left_out -= out > 0
-                    cluttered -= out > 1
-            never = name in NEVER and not (name == "header" and marked)
-            out = 1 if never else 2 * (name not in ("html", "body", "main") and _clutter(found[4]))
-            stack.append((name, out))
-            left_out += out > 0
-            cluttered += out > 1
-            marked += name in CONTENT
-            yield Piece("tag", name, "", left_out, cluttered, inside)
+                while open_.stack and (open_.stack[-1][0] in INLINE or open_.stack[-1][0] in ("p", name)):
+                    open_.pop()
+            never = name in NEVER and not (name == "header" and open_.marked)
+            known = name not in ("html", "body", "main") and _clutter(found[4], name, open_.marked > 0)
+            open_.push(name, 1 if never else 2 * known)
+            yield Piece("tag", name, "", open_.left_out, open_.cluttered, inside)
         else:
-            yield Piece("tag", name, "", left_out, cluttered, inside)
+            yield open_.piece("tag", name)
     if at < len(page):
-        yield Piece("text", block(), page[at:], left_out, cluttered, marked)
+        yield open_.text(page[at:])
 
 
 def page_counts(page: str | None) -> Counter:
@@ -215,7 +274,9 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", page: str =
     """(id, url, text, n_chars) for every page.
 
     NULL html counts as empty and gives an empty text. Repeated rows are all returned; other
-    columns are not read. Without labelled pages the weights for unseen tags are used.
+    columns are not read, whatever their names. An empty table gives an empty one. Without
+    labelled pages the weights for unseen tags are used. Very long pages are read whole, in time
+    that grows with their length. Of runs with equal sums the first is taken.
     """
     weights = learn_weights(pages, id, page, most)
     rows = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), F.col(page).alias("page"))

@@ -1,5 +1,6 @@
 import html
 import random
+import time
 
 import numpy as np
 from helpers import pages, rows
@@ -61,6 +62,35 @@ def test_hostile_markup_ends():
         html_text.main_text(text, {})
 
 
+def test_unclosed_tags_take_time_in_proportion():
+    def seconds(text):
+        start = time.process_time()
+        html_text.main_text(text, {})
+        return time.process_time() - start
+
+    for made in (lambda n: "<b>x" * n, lambda n: "<span>" * n + "</i>y" * n, lambda n: "<div><b>" * n + "</p>z" * n):
+        assert seconds(made(80_000)) < 20 * seconds(made(10_000)) + 0.5
+
+
+def test_names_inside_the_article():
+    def text(article):
+        made = f"<body><div class='promo teaser'><p>buy this</p></div>{article}<div id=social-bar><p>share it</p></div></body>"
+        weights = html_text.weights_from(html_text.page_counts("<nav><li>a b</li></nav><article><h2>t</h2><p>d e f g</p></article>"))
+        return html_text.main_text(made, weights)
+
+    assert text('<article class="promo story"><p>one two three</p></article>') == "one two three"
+    assert text('<article><h2 id="comments-on-method">on method</h2><p class="social-history">one two</p></article>') == "on method one two"
+    assert text('<article class="post category-social"><p>one two</p></article>') == "one two"
+    assert text('<main><article><p>one two</p><div class="ad-box"><p>an ad</p></div></article><article class="related promo"><p>more of it</p></article></main>') == "one two"
+    assert text('<article><p>one two</p><section id="comments"><h2>what they say</h2><article class="comment depth"><p>nice</p></article></section></article>') == "one two"
+
+
+def test_pages_without_marked_content():
+    weights = html_text.weights_from(html_text.page_counts("<nav><li>a b</li></nav><article><p>d e f g</p></article>"))
+    made = "<nav><li>home</li></nav><div id=page><p>one two</p><p>three four</p></div><div class='comment-list'><p>nice</p></div>"
+    assert html_text.main_text(made, weights) == "one two three four"
+
+
 def test_best_run_against_all_runs():
     rng = np.random.default_rng(9)
     for _ in range(200):

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from itemlab.functions.hashing import WORDS, difference_words, tokens, word_histogram
 from itemlab.functions.images import image_hash, text_as_image
 from itemlab.operators import dedup
-from itemlab.operators.neighbours import components, near_pairs
+from itemlab.operators.connected import components
+from itemlab.operators.neighbours import near_pairs
 from itemlab.queries import Registry
 from itemlab.queries.views import differing, with_views
 from itemlab.sources.tables import document_items, hashed_items, table

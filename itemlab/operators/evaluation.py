@@ -377,22 +377,22 @@ def average_precision(preds: DataFrame, p: str = "p") -> DataFrame:
     return curve_areas(preds, p).select("average_precision")
 
 
-def auc_grid(preds: DataFrame, n: int = 200, p: str = "p") -> DataFrame:
-    """The area on a fixed grid of n thresholds: one pass, mergeable, approximate.
+def auc_grid(preds: DataFrame, n: int = 200, p: str = "p", by: Sequence[str] = ()) -> DataFrame:
+    """The area on a fixed grid of n thresholds: one pass, mergeable, approximate; one row, or one per `by` group.
 
     The inner thresholds are i / (n - 1), the outer two lie just outside 0..1, and a score must
     exceed a threshold to count. All scores between two thresholds act as one tie.
     """
     above = F.greatest(F.lit(0), F.ceil(F.col(p) * (n - 1)) - 1).cast("int")
     cell = F.least(above, F.lit(n - 2))
-    cells = preds.groupBy(cell.alias("cell")).agg(
+    cells = preds.groupBy(*by, cell.alias("cell")).agg(
         F.count_if(F.col("y") == 1).alias("tp"), F.count_if(F.col("y") != 1).alias("fp")
     )
-    # At most n - 1 rows: the running sums may sit in one task.
-    high_first = Window.partitionBy(F.lit(0)).orderBy(F.desc("cell"))
+    # At most n - 1 rows a group: the running sums may sit in one task.
+    high_first = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("cell"))
     tps = F.sum("tp").over(high_first)
     area = F.col("fp") * (2.0 * F.col("tps") - F.col("tp")) / 2.0
-    return cells.withColumn("tps", tps).agg(
+    return cells.withColumn("tps", tps).groupBy(*by).agg(
         ratio(F.sum(area), F.sum("tp").cast("double") * F.sum("fp")).alias("auc")
     )
 

@@ -30,6 +30,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def own_names(columns: list[str]) -> list[str]:
+    """Names to work under, one for each column: apart from an operator's own, without dots or quotes."""
+    return [f"odd_{i}" if "." in c or "`" in c else f"own_{c}" for i, c in enumerate(columns)]
+
+
 def word_count(text: str | Column) -> Column:
     """Number of words (runs without ASCII white space); NULL counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

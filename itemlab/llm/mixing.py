@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemlab.llm.common import WORD, bins_for, draw, draw_bin, running_totals, small_table, word_count
+from itemlab.llm.common import WORD, bins_for, draw, draw_bin, own_names, running_totals, small_table, word_count
 from itemlab.plans.staging import stage
 
 WEIGHTS = (5, 2, 1)
@@ -234,9 +234,9 @@ def mixed_documents(
 ) -> DataFrame:
     """The mix as documents: a row per document and pass, with the text that was taken.
 
-    The columns are those of `docs`, `size` counted anew. Documents without words are not in it.
+    The columns are those of `docs`, `size` counted anew; others may have any names. Documents without words are not in it.
     """
-    named = [f"own_{c}" for c in docs.columns]
+    named = own_names(docs.columns)
     own_text, own_size = f"own_{text}", f"own_{size}"
     rows = sized_rows(docs.toDF(*named), f"own_{id}", own_text, f"own_{source}", named)
     narrow = rows.select("_row", "_source", "_size", "_tie")

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from itemlab.llm.common import own_names
 from itemlab.plans.staging import stage
 
 MIN_WORDS = 50
@@ -221,8 +222,11 @@ def judge_quality(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that are kept, with their own columns.
 
-    Texts are counted twice, to learn and to judge, rather than written down in between.
+    Texts are counted twice, to learn and to judge, rather than written down in between. Other
+    columns may have any names.
     """
-    learned = learn(text_counts(docs, text, []))
-    judged = apply(text_counts(docs, text, docs.columns), *learned).where("kept")
-    return judged.select(*[F.col(f"keep_{c}").alias(c) for c in docs.columns])
+    named = own_names(docs.columns)
+    own = docs.toDF(*named)
+    learned = learn(text_counts(own, f"own_{text}", []))
+    judged = apply(text_counts(own, f"own_{text}", named), *learned).where("kept")
+    return judged.select(*[F.col(f"keep_{n}").alias(c) for n, c in zip(named, docs.columns)])

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from itemlab.llm.common import own_names
 from itemlab.plans.staging import stage
 
 NAME = "(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
@@ -164,8 +165,11 @@ def redact(text: Column, spans: Column, mark: str = "<SECRET>") -> Column:
 
 
 def hide_secrets(docs: DataFrame, text: str = "text", owner: str = "source", size: str = "n_chars") -> DataFrame:
-    """The documents with all their secrets replaced by a mark, and `size` counted anew."""
-    named = [f"own_{c}" for c in docs.columns]
+    """The documents with all their secrets replaced by a mark, and `size` counted anew.
+
+    Other columns may have any names.
+    """
+    named = own_names(docs.columns)
     found = scan(docs.toDF(*named), f"own_{text}", f"own_{owner}", named)
     hidden = found.withColumn(f"own_{text}", redact(F.col(f"own_{text}"), F.col("all_spans")))
     hidden = hidden.withColumn(f"own_{size}", F.length(f"own_{text}").cast("long"))

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from itemlab.llm.common import own_names
 from itemlab.plans.staging import stage
 
 SHINGLE_WORDS = 3
@@ -209,8 +210,10 @@ def first_of_each(docs: DataFrame, found: DataFrame, id: str, text: str) -> Data
     again = judged.where(stays & (F.col("_n") > 1))
     again = stage(again.select(F.col("_id").alias("_again"), F.col("_key").alias("_again_key")), "copies-again")
 
-    named = [f"own_{c}" for c in docs.columns]
-    rows = docs.toDF(*named).withColumns({"_id": F.col(f"`own_{id}`"), "_key": F.sha2(F.coalesce(F.col(f"`own_{text}`"), F.lit("")), 256)})
+    named = own_names(docs.columns)
+    own = dict(zip(docs.columns, named))
+    words = F.col(f"`{own.get(text, f'own_{text}')}`")
+    rows = docs.toDF(*named).withColumns({"_id": F.col(f"`{own.get(id, f'own_{id}')}`"), "_key": F.sha2(F.coalesce(words, F.lit("")), 256)})
     # What goes grows with the corpus, so it is shuffled like the documents at every size.
     left = rows.join(gone.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_gone_key")), "left_anti")
     if not again.isEmpty():

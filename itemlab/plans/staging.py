@@ -40,6 +40,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_parts(df: DataFrame, name: str, by: str) -> DataFrame:
+    """As `stage`, in a folder for each value of `by`, which has few: who wants one value reads no other."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.partitionBy(by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a CPU-heavy step all cores when the input has fewer splits than there are cores.
 

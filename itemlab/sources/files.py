@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemlab.config import DEFAULTS
+from itemlab.functions.headers import header_of
 from itemlab.functions.scalars import extension_of, has_extension, stem_of
 from itemlab.plans.groups import attach
 from itemlab.plans.staging import stage
@@ -89,72 +90,28 @@ def scan_source(
     )
 
 
-#: How the files of a format begin, in hexadecimal; a dot stands for any digit.
-SIGNATURES = {
-    "PNG": "89504E470D0A1A0A",
-    "JPEG": "FFD8FF",
-    "GIF": "47494638",
-    "BMP": "424D",
-    "WEBP": "52494646........57454250",
-}
-
-
-def format_of(content: Column) -> Column:
-    """The image format that a file's first bytes tell, NULL for none of SIGNATURES."""
-    head = F.hex(F.substring(content, 1, 12))
-    found = F.lit(None).cast("string")
-    for name, start in SIGNATURES.items():
-        found = F.when(head.rlike(f"^{start}"), name).otherwise(found)
-    return found
-
-
 def read_item_metadata(
     spark: SparkSession, items: DataFrame, root: str, extensions: Sequence[str] = DEFAULTS.extensions
 ) -> DataFrame:
     """Add md5, w, h, mode, format, loadable and error to scanned image items.
 
-    A file that cannot be decoded stays as a row: mode 'CORRUPT', w and h 0, and an error that says
-    whether it is of no known format or broken. The format is that of the first bytes, whatever
-    the name says. Files without a byte are not listed: Spark's file scans leave them out.
+    One scan reads every file once; its bytes stay in the task that reads them. Size, mode and
+    format are those of the file's header, whatever the name says. A cut, damaged or unknown file
+    stays as a row: mode 'CORRUPT', w and h 0, and an error that says which. Files without a byte
+    are not listed: Spark's file scans leave them out.
     """
     contents = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(root)
-        .select("path", F.md5("content").alias("md5"), format_of(F.col("content")).alias("format"))
-    )
-    pictures = (
-        spark.read.format("image")
-        .option("dropInvalid", "false")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select(
-            F.regexp_replace("image.origin", "^file:/+", "file:/").alias("path"),
-            F.col("image.width").alias("_w"),
-            F.col("image.height").alias("_h"),
-            F.col("image.nChannels").alias("_c"),
-        )
+        .select("path", F.md5("content").alias("md5"), header_of(F.col("content")).alias("_head"))
     )
-    modes = F.create_map(*[F.lit(x) for x in (1, "L", 3, "RGB", 4, "RGBA")])
-    known = F.coalesce(F.col("_w") > 0, F.lit(False))
-    return (
-        items.join(contents, "path", "left")
-        .join(pictures, "path", "left")
-        .select(
-            *items.columns,
-            "md5",
-            F.when(known, F.col("_w")).otherwise(0).alias("w"),
-            F.when(known, F.col("_h")).otherwise(0).alias("h"),
-            F.when(known, F.coalesce(modes[F.col("_c")], F.lit("OTHER")))
-            .otherwise("CORRUPT")
-            .alias("mode"),
-            "format",
-            has_extension(F.col("path"), extensions).alias("loadable"),
-            F.when(known, None)
-            .when(F.col("format").isNull(), "the first bytes are those of no known format")
-            .otherwise(F.concat("format", F.lit(" data that cannot be decoded")))
-            .alias("error"),
-        )
+    return items.join(contents, "path", "left").select(
+        *items.columns,
+        "md5",
+        *[F.col(f"_head.{c}") for c in ("w", "h", "mode", "format")],
+        has_extension(F.col("path"), extensions).alias("loadable"),
+        "_head.error",
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemlab.config import DEFAULTS, Defaults
+from itemlab.functions.hashing import WORDS
 from itemlab.operators.dedup import exact_dedup, near_dedup
 from itemlab.operators.sampling import stratified_split, subsample_class
 from itemlab.plans.staging import stage
@@ -33,7 +34,9 @@ def split_manifest(
     not_sampled. `limit` caps the class `majority`.
     """
     limit = cfg.majority_limit if limit is None else limit
-    columns = [c for c in items.columns if c != "reason"]
+    # The decisions need the hashes, the naming after them does not; no step carries anything else.
+    record = ["id", "cls", "path", "name", "md5"]
+    columns = [*record, "size", *WORDS]
 
     def left_out(df: DataFrame, split: str, note: str) -> DataFrame:
         return df.select(
@@ -50,11 +53,13 @@ def split_manifest(
     # Each step is read by two others: by its successor and by the manifest.
     unique = stage(exact_dedup(usable), "unique")
     distinct = stage(
-        near_dedup(unique.where("status = 'kept'").select(*columns), cfg.near_max_bits), "distinct"
+        near_dedup(unique.where("status = 'kept'").select(*columns), cfg.near_max_bits)
+        .select(*record, "status", "note"),
+        "distinct",
     )
-    kept = distinct.where("status = 'kept'").select(*columns)
+    kept = distinct.where("status = 'kept'").select(*record)
     sampled = stage(subsample_class(kept, majority, limit, cfg.seed), "sampled")
-    chosen = sampled.where("status = 'kept'").select(*columns)
+    chosen = sampled.where("status = 'kept'").select(*record)
     named = assign_output_names(stratified_split(chosen, cfg.fractions, cfg.seed, cfg.splits))
     return (
         named.select(

@@ -18,6 +18,7 @@ SECTIONS = (
     "runs",
     "evidence",
     "streams",
+    "bundle",
 )
 
 

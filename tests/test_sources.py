@@ -161,3 +161,23 @@ def test_formats_and_errors_come_from_the_first_bytes(spark, tmp_path):
     assert "no known format" in said["f.png"] and said["b.png"].startswith("JPEG")
     audited = {r.key: r.value for r in quality_audit(spark.createDataFrame(found)).collect()}
     assert audited["format.PNG"] == 1 and audited["format.unknown"] == 1
+
+
+def test_the_document_has_every_part_or_says_which_is_missing(spark, tmp_path):
+    one = spark.createDataFrame([("a", 0.1)], "name string, x double")
+    some = spark.createDataFrame([("b", 1.0), ("a", None)], "name string, x double")
+    parts = {key: one if form == "row" else some for key, form in reports.PARTS.items()}
+    path = str(tmp_path / "whole")
+    read = reports.read_document(spark, path, reports.write_document(spark, parts, path))
+    assert set(read) == set(parts)
+    for key, frame in read.items():
+        assert sorted(map(tuple, frame.collect())) == sorted(map(tuple, parts[key].collect()))
+    with pytest.raises(ValueError, match="lacks .'headline'.* know .'other'"):
+        reports.write_document(spark, {"other": one} | {k: p for k, p in parts.items() if k != "headline"}, path)
+    with pytest.raises(Exception, match="headline needs one row, it has 2 rows"):
+        reports.write_document(spark, parts | {"headline": some}, str(tmp_path / "two"))
+    with pytest.raises(Exception, match="history must not be empty"):
+        reports.write_document(spark, parts | {"history": some.limit(0)}, str(tmp_path / "none"))
+    empty = parts | {"roc": some.limit(0)}
+    path = str(tmp_path / "empty")
+    assert reports.read_document(spark, path, reports.write_document(spark, empty, path))["roc"].count() == 0

@@ -2,9 +2,10 @@
 
 Three base kinds are found by pattern wherever they stand: assignments to a password-like name,
 access keys, and long runs of hexadecimal digits. Besides, every long mixed token is a candidate.
-A candidate's hash is followed through the whole corpus: how many owners (sources) have it. What many
-owners share is an example that was copied about; what one owner has to himself, in however many
-documents, is live-looking, and its spans are added to the base ones as `owned`.
+The hash of every value, found by pattern or candidate, is followed through the whole corpus: how many
+owners (sources) have it, and in how many documents. What many owners share is an example that was
+copied about; what one owner has to itself, in however many documents, is live-looking. Candidates of
+one owner are added to the base spans as `owned`; every span that is reported has a verdict.
 
 Spans come from column functions alone: the pieces between the matches and the matches themselves
 alternate, so their lengths give every start. Positions count code points.
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemlab.llm.common import own_names
+from itemlab.plans.groups import attach
 from itemlab.plans.staging import stage
 
 NAME = "(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
@@ -83,55 +85,67 @@ def _joined(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str, owner: str, keep: list[str], most_owners: int = MOST_OWNERS) -> DataFrame:
-    """The columns `keep`, `base_spans` and `all_spans` for every row of `docs`.
+    """The columns `keep`, `base_spans`, `all_spans` and `verdicts` for every row of `docs`.
 
-    Rows without an owner count as one owner. Spans are
-    (start, kind number, stop). Rows that may have candidates are written down with a number for
-    each; all others go straight through, so the bulk of the texts is neither written nor moved.
+    Rows without an owner count as one owner, and each row is a document. Spans are (start, kind
+    number, stop). A verdict, one for each of all spans, says who has the span's value: `shared` by more
+    than `most_owners` owners, `owned` by so few in several documents, or in a `single` document. The
+    value of an assignment is what is assigned. Rows that may have a span are written down with a
+    number for each; all others go straight through, so the bulk of the texts is neither written nor moved.
     """
     kept = [F.col(c).alias(f"keep_{c}") for c in keep]
     names = [f"keep_{c}" for c in keep]
     rows = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("_text"), F.col(owner).alias("_owner"))
     base = F.array_sort(F.concat(*base_spans(F.col("_text")).values()))
-    may_hold = F.regexp_like("_text", F.lit(TOKEN))
-    plain = rows.where(~may_hold).withColumn("_base", base).select(*names, "_base", F.col("_base").alias("_all"))
+    may_hold = F.lit(False)
+    for pattern in (ASSIGN, ACCESS, HEX, TOKEN):
+        may_hold = may_hold | F.regexp_like("_text", F.lit(pattern))
+    none = F.array().cast(SPAN)
+    plain = rows.where(~may_hold).select(
+        *names, none.alias("_base"), none.alias("_all"), F.array().cast("array<string>").alias("_verdicts")
+    )
 
-    def apart(candidate: Column) -> Column:
-        span = candidate["span"]
+    def apart(span: Column) -> Column:
         return ~F.exists("_base", lambda b: (b["start"] < span["stop"]) & (span["start"] < b["stop"]))
 
-    hashed = F.transform(
-        _matches(F.col("_text"), TOKEN, 3),
-        lambda s: F.struct(
-            s.alias("span"),
-            F.sha2(F.substring(F.col("_text"), s["start"] + 1, s["stop"] - s["start"]), 256).alias("hash"),
-        ),
-    )
-    holding = rows.where(may_hold).withColumns({"_base": base, "_found": hashed, "_row": F.monotonically_increasing_id()})
-    holding = holding.withColumn("_candidates", F.filter("_found", apart))
+    def hashed(span: Column) -> Column:
+        piece = F.substring(F.col("_text"), span["start"] + 1, span["stop"] - span["start"])
+        value = F.when(span["kind"] == 0, F.regexp_extract(piece, ASSIGN, 1)).otherwise(piece)
+        return F.struct(span.alias("span"), F.sha2(value, 256).alias("hash"))
+
+    holding = rows.where(may_hold).withColumns({"_base": base, "_row": F.monotonically_increasing_id()})
+    tokens = F.filter(_matches(F.col("_text"), TOKEN, 3), apart)
+    holding = holding.withColumn("_candidates", F.transform(F.concat("_base", tokens), hashed))
     holding = stage(holding.select(*names, "_row", "_owner", "_base", "_candidates"), "secrets")
 
-    candidates = holding.select("_row", "_owner", F.explode("_candidates").alias("_c"))
-    candidates = candidates.select("_row", "_owner", "_c.span", "_c.hash")
-    # Owners are counted on (hash, owner) first, so that a hash in many rows is small by then.
-    per_owner = candidates.groupBy("hash", "_owner").agg(F.count("*").alias("_times"))
-    holders = per_owner.groupBy("hash").agg(F.count("*").alias("_owners"))
-    own = candidates.join(holders.where(F.col("_owners") <= most_owners), "hash")
-    own = own.groupBy("_row").agg(F.collect_list("span").alias("_own"))
-    added = F.array_sort(F.concat("_base", F.coalesce("_own", F.array().cast(SPAN))))
-    held = holding.join(own, "_row", "left").select(*names, "_base", added.alias("_all"))
+    # A row counts once for a hash; documents are counted by (hash, owner) first, so that a hash in
+    # many rows is small by then.
+    hashes = F.array_distinct(F.transform("_candidates", lambda c: c["hash"]))
+    per_owner = holding.select("_owner", F.explode(hashes).alias("hash")).groupBy("hash", "_owner")
+    holders = per_owner.agg(F.count("*").alias("_n")).groupBy("hash")
+    holders = holders.agg(F.count("*").alias("_owners"), F.sum("_n").alias("_documents"))
+    candidates = holding.select("_row", F.explode("_candidates").alias("_c")).select("_row", "_c.span", "_c.hash")
+    counted = attach(candidates, holders, "hash", "_documents", row_id="_row")
+    verdict = F.when(F.col("_owners") > most_owners, "shared").when(F.col("_documents") > 1, "owned").otherwise("single")
+    told = counted.where((F.col("span.kind") < 3) | (F.col("_owners") <= most_owners))
+    told = told.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("span", verdict.alias("verdict")))).alias("_told"))
+    held = holding.join(told, "_row", "left").withColumn("_told", F.coalesce("_told", F.array()))
+    held = held.select(*names, "_base", F.col("_told.span").cast(SPAN).alias("_all"), F.col("_told.verdict").alias("_verdicts"))
     return plain.unionByName(held).select(
         *[F.col(f"keep_{c}").alias(c) for c in keep],
         F.col("_base").alias("base_spans"),
         F.col("_all").alias("all_spans"),
+        F.col("_verdicts").alias("verdicts"),
     )
 
 
 def find_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", owner: str = "source") -> DataFrame:
-    """(id, n_assign, n_access, n_hex, base_sha256, spans) for every document.
+    """(id, n_assign, n_access, n_hex, base_sha256, spans, verdicts) for every document.
 
-    NULL texts count as empty and have no spans. Repeated rows are all returned; one
-    NULL owner stands for all documents without one.
+    `verdicts` has one for each of `spans`, comma-joined like them. NULL texts count as empty and have
+    no spans; very long ones are searched whole. Repeated rows are all returned, each a document; one NULL
+    owner stands for all documents without one. An empty table gives none. Other columns of `docs`
+    are not read, whatever their names.
     """
 
     def number(kind: int) -> Column:
@@ -144,6 +158,7 @@ def find_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", owner:
         number(2).alias("n_hex"),
         F.sha2(_joined(F.col("base_spans")), 256).alias("base_sha256"),
         _joined(F.col("all_spans")).alias("spans"),
+        F.array_join("verdicts", ",").alias("verdicts"),
     )
 
 
@@ -167,7 +182,8 @@ def redact(text: Column, spans: Column, mark: str = "<SECRET>") -> Column:
 def hide_secrets(docs: DataFrame, text: str = "text", owner: str = "source", size: str = "n_chars") -> DataFrame:
     """The documents with all their secrets replaced by a mark, and `size` counted anew.
 
-    Other columns may have any names.
+    Base spans are hidden whatever their verdict, candidates only where one owner has them. NULL texts
+    stay empty ones, an empty table gives none. Other columns may have any names.
     """
     named = own_names(docs.columns)
     found = scan(docs.toDF(*named), f"own_{text}", f"own_{owner}", named)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 from helpers import AWKWARD, documents, rows
 
@@ -28,27 +29,41 @@ def base(text):
     return sorted(spans + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24])
 
 
+def value(text, span):
+    """What is followed through the corpus: of an assignment what is assigned, else the whole span."""
+    piece = text[span[0] : span[2]]
+    return ASSIGN.match(piece)[2] if span[1] == 0 else piece
+
+
 def joined(spans):
     return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
 def brute(docs):
-    """Per document (counts, digest, spans): candidates with one owner are added."""
-    owners, found = {}, []
+    """Per document (counts, digest, spans, verdicts): candidates with one owner are added."""
+    owners, number, found = {}, Counter(), []
     for _, text, _, source in docs:
         spans, own = base(text), []
         for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or ""):
             mixed = all(re.search(p, m[0]) for p in ("[0-9]", "[a-z]", "[A-Z]"))
             if mixed and not any(a < m.end() and m.start() < b for a, _, b in spans):
                 own.append((m.start(), 3, m.end()))
-                owners.setdefault(m[0], set()).add(source)
+        values = {s: value(text, s) for s in spans + own}
+        number.update(set(values.values()))
+        for v in values.values():
+            owners.setdefault(v, set()).add(source)
         found.append((spans, own))
+
+    def verdict(v):
+        return "shared" if len(owners[v]) > 1 else "owned" if number[v] > 1 else "single"
+
     out = []
     for (i, text, _, _), (spans, own) in zip(docs, found):
         live = [s for s in own if len(owners[text[s[0] : s[2]]]) == 1]
         counts = [sum(k == kind for _, k, _ in spans) for kind in range(3)]
         digest = hashlib.sha256(joined(spans).encode()).hexdigest()
-        out.append((repr(i), *counts, digest, joined(sorted(spans + live))))
+        told = sorted(spans + live)
+        out.append((repr(i), *counts, digest, joined(told), ",".join(verdict(value(text, s)) for s in told)))
     return sorted(out)
 
 
@@ -60,7 +75,8 @@ def test_spans_and_owners(spark):
     docs = [*AWKWARD, *[(100 + i, t, "en", "s" + str(i // 3 % 2)) for i, t in enumerate(TEXTS)]]
     found = got(secrets.find_secrets(documents(spark, docs)))
     assert found == brute(docs)
-    assert sum("owned" in f[-1] for f in found) >= 1
+    assert sum("owned" in f[-2] for f in found) >= 1
+    assert {v for f in found for v in f[-1].split(",")} == {"", "owned", "single"}
     assert rows(secrets.find_secrets(documents(spark, docs).limit(0))) == []
 
 
@@ -71,6 +87,26 @@ def test_random_texts(spark):
     assert got(secrets.find_secrets(documents(spark, docs))) == brute(docs)
 
 
+def test_an_example_of_many_is_told_from_a_secret_of_one(spark):
+    """By pattern or bare, alone or in thousands of rows of one source, it is the value that counts."""
+    example, live, bare = "Example0" * 3, "Live4You" * 3, "Bare9Key" * 3
+    docs = [(i, f"token = {example}", "en", f"s{i % 7}") for i in range(70)]
+    docs += [(100 + i, f"password: {live} {bare}", "en", "hot") for i in range(3000)]
+    docs += [(5000, f"see {example} here", "en", "other"), (5001, f"secret={live}1", "en", "hot"), (5002, None, "en", None)]
+    found = {r.doc_id: r for r in secrets.find_secrets(documents(spark, docs)).collect()}
+    assert all(found[i].verdicts == "shared" for i in range(70))
+    assert all(found[100 + i].verdicts == "owned,owned" for i in range(3000))
+    assert found[5000].spans == "" and found[5001].verdicts == "single" and found[5002].verdicts == ""
+
+
+def test_hot_values_are_kept_out_of_the_shuffle_without_another_result(spark, monkeypatch):
+    docs = documents(spark, [(i, t, "en", "s" + str(i % 2)) for i, t in enumerate(TEXTS * 3)])
+    plain = got(secrets.find_secrets(docs))
+    near = secrets.attach
+    monkeypatch.setattr(secrets, "attach", lambda *args, **named: near(*args, **named, hot_rows=2))
+    assert got(secrets.find_secrets(docs)) == plain
+
+
 def test_hidden_texts_keep_all_else(spark):
     docs = documents(spark, [(1, "é token = abcdef! x", "en", "a"), (2, None, "en", "a"), (3, f"see {OWNED}.", "en", "b"), (4, "clean", None, None)])
     hidden = secrets.hide_secrets(docs)

@@ -178,16 +178,24 @@ def mix(
     shards: int = SHARDS,
     seed: int = SEED,
 ) -> DataFrame:
-    """(id, size, source_size, target, taken) for every document.
+    """(id, size, source_size, target, taken, shard_words) for every document.
 
     `taken` counts the words of its blocks in the mix, repeats included; it is 0 for documents
-    without words and at most `most` times the size, rounded up to a whole pass. NULL is a source
-    of its own. Repeated rows are documents of their own.
+    without words and at most `most` times the size, rounded up to a whole pass. `shard_words` has, for
+    each output shard, the words that the splitting tree gave it of the document. NULL is a source
+    of its own. Repeated rows are documents of their own. Very long texts are many blocks, an empty
+    table gives no row, and other columns of `docs` are not read.
     """
     narrow = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), F.col(source).alias("_from"))
     rows = sized_rows(narrow, "_id", "_text", "_from", ["_id"])
     sources = source_table(rows, weights, most)
-    taken = mix_blocks(rows, sources, block_words, shards, seed).groupBy("_row").agg(F.sum("words").alias("_taken"))
+    blocks = mix_blocks(rows, sources, block_words, shards, seed)
+    by_shard = blocks.groupBy("_row", "shard").agg(F.sum("words").alias("_words"))
+    taken = by_shard.groupBy("_row").agg(
+        F.sum("_words").alias("_taken"),
+        F.map_from_entries(F.collect_list(F.struct("shard", "_words"))).alias("_shards"),
+    )
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))
     facts = small_table(docs.sparkSession, sources, "_name string, source_size long, target double")
     return (
         rows.join(facts, F.col("_source").eqNullSafe(F.col("_name")))
@@ -198,6 +206,9 @@ def mix(
             "source_size",
             "target",
             F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"),
+            F.transform(numbers, lambda s: F.coalesce(F.try_element_at("_shards", s), F.lit(0)).cast("long")).alias(
+                "shard_words"
+            ),
         )
     )
 
@@ -220,6 +231,56 @@ def cut_blocks(text: str, taken: list[int], block_words: int) -> str:
     return "\n".join(text[a:b] for a, b in parts)
 
 
+def mixed_shards(
+    docs: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: tuple[float, ...] = WEIGHTS,
+    most: float = MOST,
+    block_words: int = BLOCK_WORDS,
+    shards: int = SHARDS,
+    seed: int = SEED,
+) -> DataFrame:
+    """The output shards: (shard, place, id, source, text), a row for each block, shuffled in its shard.
+
+    Rows are dealt by ranges of (shard, place) and sorted, so that files hold the shards one after the
+    other, each in its own order, and a large shard lies in several. NULL texts have no blocks, and an
+    empty table gives no row.
+    """
+    narrow = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), F.col(source).alias("_from"))
+    rows = sized_rows(narrow, "_id", "_text", "_from", ["_id", "_text"])
+    facts = rows.select("_row", "_source", "_size", "_tie")
+    blocks = mix_blocks(facts, source_table(facts, weights, most), block_words, shards, seed)
+    takes = blocks.groupBy("_row").agg(F.collect_list(F.struct("shard", "place", "block")).alias("_takes"))
+    wide = rows.select("_id", "_source", "_text", "_row").join(takes, "_row").drop("_row")
+    kind = wide.schema["_id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, out = [], {"shard": [], "place": [], "text": []}
+            for i, (body, takes) in enumerate(zip(batch["_text"].to_pylist(), batch["_takes"].to_pylist())):
+                spans = [m.span() for m in re.finditer(WORD, body)]
+                for take in takes:
+                    own = spans[take["block"] * block_words : (take["block"] + 1) * block_words]
+                    owners.append(i)
+                    out["shard"].append(take["shard"])
+                    out["place"].append(take["place"])
+                    out["text"].append(body[own[0][0] : own[-1][1]])
+            at = pa.array(owners, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(out["shard"], pa.int64()), pa.array(out["place"], pa.int64()),
+                    batch["_id"].take(at), batch["_source"].take(at), pa.array(out["text"], pa.string()),
+                ],
+                ["shard", "place", "_id", "_source", "text"],
+            )
+
+    pieces = wide.mapInArrow(cut, f"shard long, place long, _id {kind}, _source string, text string")
+    ordered = pieces.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")
+    return ordered.select("shard", "place", F.col("_id").alias(id), F.col("_source").alias(source), "text")
+
+
 def mixed_documents(
     docs: DataFrame,
     id: str = "doc_id",

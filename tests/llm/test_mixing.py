@@ -4,6 +4,7 @@ from math import comb, prod
 import numpy as np
 import pytest
 from helpers import AWKWARD, WORD, documents, rows
+from pyspark.sql import functions as F
 
 from itemlab.llm import mixing
 
@@ -107,3 +108,49 @@ def test_draws_have_the_exact_chances_at_every_size(good, bad, n):
     assert abs(sum(chances.values()) - 1) < 1e-9 and set(found) <= set(chances)
     for k, p in chances.items():
         assert abs(found[k] - times * p) <= 5 * (times * p * (1 - p)) ** 0.5 + 1
+
+
+def test_shards_hold_what_the_tree_gave_them(spark):
+    """The words by shard add up to those taken, and the written shards have just these words."""
+    texts = [(i, " ".join(f"w{i}_{k}" for k in range(i % 40 * 10)), "en", "big" if i % 3 else f"s{i % 5}") for i in range(300)]
+    texts += [(300, None, "en", "big"), (301, "", "en", None), (302, "a b  c\n" * 50, "en", None)]
+    docs = documents(spark, texts)
+    mixed = mixing.mix(docs, block_words=16, shards=5).collect()
+    assert all(len(r.shard_words) == 5 and sum(r.shard_words) == r.taken for r in mixed)
+    want = {(s, r.doc_id): n for r in mixed for s, n in enumerate(r.shard_words) if n}
+    rows_of = mixing.mixed_shards(docs, block_words=16, shards=5)
+    got, bodies = Counter(), {i: t for i, t, *_ in texts}
+    written = rows_of.collect()
+    for r in written:
+        got[r.shard, r.doc_id] += len(WORD.findall(r.text))
+        assert r.text in bodies[r.doc_id]
+    assert got == want
+    blocks = Counter(r.shard for r in written)
+    assert max(blocks.values()) - min(blocks.values()) <= 1
+    order = [(r.shard, r.place) for r in written]
+    assert order == sorted(order) and [r.doc_id for r in written] != sorted(r.doc_id for r in written)
+
+
+def test_what_is_taken_equals_a_plain_version(spark):
+    """Blocks by the order drawn for them, until the one that ends nearest to the target."""
+    texts = [(i, " ".join(["w"] * (i * 7 % 90)), "en", f"s{i % 4}") for i in range(120)]
+    docs = documents(spark, texts)
+    narrow = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.col("source").alias("_from"))
+    sized = mixing.sized_rows(narrow, "_id", "_text", "_from", ["_id"])
+    sources = mixing.source_table(sized)
+    cut = []
+    for r in sized.collect():
+        for block in range(-(-r._size // 16)):
+            words = min(16, r._size - 16 * block)
+            cut += [(p, r._id, r._source, r._tie, block, words) for p in range(3)]
+    cut = spark.createDataFrame(cut, "pass long, id long, source string, tie long, block long, words long")
+    drawn = cut.withColumn("draw", mixing.draw(mixing.SEED, "pass", "tie", "block", "words")).collect()
+    taken = Counter()
+    for name, size, target in sources:
+        for p in range(3):
+            at, rest = 0, target - p * size
+            for b in sorted((b for b in drawn if b.source == name and b["pass"] == p), key=lambda b: (b.draw, b.tie, b.block)):
+                if rest > 0 and at + b.words / 2 <= rest:
+                    taken[b.id] += b.words
+                at += b.words
+    assert {r.doc_id: r.taken for r in mixing.mix(docs, block_words=16).collect() if r.taken} == dict(taken)

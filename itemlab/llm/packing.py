@@ -34,8 +34,8 @@ from itemlab.plans.staging import stage
 SEQUENCE = 4096
 END_ID = 1
 SEED = 3
-CACHED_WORDS = 500_000
-TEXTS_AT_ONCE = 256
+CACHED_WORDS = 250_000
+TEXTS_AT_ONCE = 64
 #: ASCII punctuation, but for the apostrophe, between a letter or digit and white space.
 TRAILING = re.compile(rb"(?<=[A-Za-z0-9])([!-&(-/:-@\[-`{-~]++)(?=[\x20\x09-\x0D]|\Z)")
 #: Texts with this may hold a special token and are taken as they are.

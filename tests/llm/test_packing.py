@@ -58,6 +58,15 @@ def test_a_small_cache_changes_nothing(tokenizer, monkeypatch):
         assert ids == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_few_words_are_remembered():
+    encoder, most = packing.WordEncoder(tokenizer_file()), 0
+    letters = [chr(97 + i) for i in range(26)]
+    for a in letters[:18]:
+        encoder.encode([" ".join(a + b + c + d for b in letters for c in letters for d in letters)])
+        most = max(most, len(encoder.known))
+    assert most <= 250_000
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_places_all_once_and_tightly(seed):
     rng = random.Random(seed)

@@ -16,7 +16,7 @@ the pieces themselves are counted, ranked and placed by distributed steps, and r
 from __future__ import annotations
 
 import os
-import re
+import string
 import zlib
 from bisect import bisect_left
 from collections import defaultdict
@@ -25,6 +25,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +35,14 @@ from itemlab.plans.staging import stage
 SEQUENCE = 4096
 END_ID = 1
 SEED = 3
+#: Words that both generations hold.
 CACHED_WORDS = 250_000
-TEXTS_AT_ONCE = 64
-#: ASCII punctuation, but for the apostrophe, between a letter or digit and white space.
-TRAILING = re.compile(rb"(?<=[A-Za-z0-9])([!-&(-/:-@\[-`{-~]++)(?=[\x20\x09-\x0D]|\Z)")
+BYTES_AT_ONCE = 1 << 19
+#: ASCII punctuation but for the apostrophe, letters and digits, and white space, by byte.
+_BYTES = [chr(b) if b < 128 else "" for b in range(256)]
+PUNCTUATION = np.array([c in string.punctuation.replace("'", "") and c > "" for c in _BYTES])
+ALPHANUMERIC = np.array([c.isalnum() for c in _BYTES])
+WHITE = np.array([c in " \t\n\v\f\r" and c > "" for c in _BYTES])
 #: Texts with this may hold a special token and are taken as they are.
 SPECIAL = b"<|"
 _encoders: dict[str, WordEncoder] = {}
@@ -47,8 +52,10 @@ class WordEncoder:
     """Token ids of texts, as little-endian unsigned 32-bit numbers.
 
     The tokenizer lower-cases, and never joins what ASCII white space separates, nor a letter or
-    digit and the ASCII punctuation that ends the word. So both are encoded once and remembered.
-    When there are too many, those of the latest texts are kept, which the most frequent ones are among.
+    digit and the ASCII punctuation that ends the word. So both are encoded once and remembered, in
+    two generations: when the newer one is full it becomes the older, and words met again move over,
+    so that frequent words stay. Arrow splits many texts at once into words, numbers the distinct
+    ones and puts their ids together again.
     """
 
     def __init__(self, tokenizer_file: str) -> None:
@@ -59,12 +66,13 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _learn_letters(self, words: list[bytes], plain: list[str]) -> bool:
+    def _learn_letters(self, words: list[str]) -> bool:
         """Words of letters alone are one tokenizer word each, so their ids can be told apart by
         the tokens that end a word; False if the number of those is another."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
         if len(ends) != len(words):
             return False
@@ -74,8 +82,8 @@ class WordEncoder:
             start = end
         return True
 
-    def _learn_any(self, words: list[bytes], plain: list[str]) -> None:
-        encoded = self.tokenizer.encode(plain, is_pretokenized=True, add_special_tokens=False)
+    def _learn_any(self, words: list[str]) -> None:
+        encoded = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
         owner = np.array(encoded.word_ids, np.int64)
         ends = (np.searchsorted(owner, np.arange(len(words)), side="right") * 4).tolist()
         data, start = np.array(encoded.ids, "<u4").tobytes(), 0
@@ -83,31 +91,58 @@ class WordEncoder:
             self.known[word] = data[start:end]
             start = end
 
-    def learn(self, new: set[bytes]) -> None:
+    def learn(self, new: list[str]) -> None:
         simple, other = [], []
         for word in new:
-            text = word.decode("utf-8", "replace")
-            letters = text.isalpha() and (text.isascii() or (text.lower() == text and is_normalized("NFC", text)))
-            (simple if letters else other).append((word, text))
-        if simple and not self._learn_letters(*map(list, zip(*simple))):
+            letters = word.isalpha() and (word.isascii() or (word.lower() == word and is_normalized("NFC", word)))
+            (simple if letters else other).append(word)
+        if simple and not self._learn_letters(simple):
             other += simple
         if other:
-            self._learn_any(*map(list, zip(*other)))
-
-    def words(self, text: str) -> list[bytes]:
-        raw = text.encode("utf-8", "replace")
-        return raw.split() if SPECIAL in raw else TRAILING.sub(rb" \1", raw.lower()).split()
+            self._learn_any(other)
+
+    def look_up(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        ids = list(map(self.known.get, words))
+        new = [w for w, known in zip(words, ids) if known is None]
+        if not new:
+            return ids
+        again = list(map(self.older.get, new))
+        if len(self.known) + len(new) > CACHED_WORDS // 2:
+            self.older, self.known = self.known, {w: known for w, known in zip(words, ids) if known is not None}
+        self.known.update((w, known) for w, known in zip(new, again) if known is not None)
+        unknown = [w for w, known in zip(new, again) if known is None]
+        if unknown:
+            self.learn(unknown)
+        return list(map(self.known.__getitem__, words))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = list(map(self.words, texts))
-        present = set().union(*words)
-        new = present.difference(self.known)
-        if new:
-            if len(self.known) + len(new) > CACHED_WORDS:
-                self.known = {w: self.known[w] for w in present - new}
-            self.learn(new)
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, own)) for own in words]
+        raws = [text.encode("utf-8", "replace") for text in texts]
+        plain = np.array([SPECIAL not in raw for raw in raws], bool)
+        joined = b"\n".join([*(raw.lower() if low else raw for raw, low in zip(raws, plain.tolist())), b""])
+        ends = np.cumsum([len(raw) + 1 for raw in raws])
+        data = np.frombuffer(joined, np.uint8)
+        # white space goes before the punctuation that ends a word
+        marks = PUNCTUATION[data]
+        bounds = np.flatnonzero(marks[1:] != marks[:-1]) + 1
+        if len(marks) and marks[0]:
+            bounds = bounds[1:]
+        first, after = bounds[::2], bounds[1::2]
+        parted = first[ALPHANUMERIC[data[first - 1]] & WHITE[data[after]]]
+        parted = parted[plain[np.searchsorted(ends, parted, side="right")]]
+        data = np.insert(data, parted, 32)
+        ends += np.searchsorted(parted, ends)
+        starts = np.concatenate([[0], ends]).astype(np.int64)
+        lines = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(starts), pa.py_buffer(data))
+        split = pc.ascii_split_whitespace(lines)
+        words = split.values.dictionary_encode()
+        # the split leaves an empty word before or after white space at the ends
+        found = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = iter(self.look_up([w for w in found if w]))
+        ids = pa.array([next(known) if w else b"" for w in found], pa.large_binary()).take(words.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1][np.asarray(split.offsets)].tolist()
+        whole = memoryview(ids.buffers()[2] or b"")
+        return [bytes(whole[start:end]) for start, end in zip(at, at[1:])]
 
 
 def _encoder(tokenizer_file: str) -> WordEncoder:
@@ -117,6 +152,16 @@ def _encoder(tokenizer_file: str) -> WordEncoder:
     return _encoders[tokenizer_file]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows in slices of about BYTES_AT_ONCE of text; no text is cut."""
+    sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
+    filled = np.cumsum(sizes, dtype=np.int64) // BYTES_AT_ONCE
+    bounds = [0, *(np.flatnonzero(filled[1:] != filled[:-1]) + 1).tolist(), batch.num_rows]
+    for start, end in zip(bounds, bounds[1:]):
+        if end > start:
+            yield batch.slice(start, end - start)
+
+
 def cut_pieces(
     docs: DataFrame,
     tokenizer_file: str,
@@ -137,8 +182,7 @@ def cut_pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_file)
         for whole in batches:
-            for first in range(0, whole.num_rows, TEXTS_AT_ONCE):
-                batch = whole.slice(first, TEXTS_AT_ONCE)
+            for batch in _slices(whole):
                 owners, pieces, lengths, sums = [], [], [], []
                 for i, body in enumerate(encoder.encode([t or "" for t in batch["text"].to_pylist()])):
                     ids = body + end

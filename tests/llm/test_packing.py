@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import AWKWARD, documents, rows
 from tokenizers import Tokenizer
@@ -67,6 +68,37 @@ def test_few_words_are_remembered():
     assert most <= 250_000
 
 
+def test_frequent_words_are_learned_once(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 60)
+    encoder = packing.WordEncoder(tokenizer_file())
+    learned, learn = [], encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda new: (learned.extend(new), learn(new)))
+    letters = [chr(97 + i) for i in range(26)]
+    for i in range(40):
+        often = ["often", "usual"][i % 2]
+        encoder.encode([f"{often} {' '.join('rare' + letters[i % 26] + letters[i // 26] + b for b in letters[:20])}"])
+        assert len(encoder.known) + len(encoder.older) <= 60
+    names = [w if isinstance(w, str) else w.decode() for w in learned]
+    assert (names.count("often"), names.count("usual")) == (1, 1)
+
+
+def test_texts_encoded_together_keep_their_own_ids(tokenizer):
+    texts = [t or "" for _, t, *_ in AWKWARD + HARD] + [".", "", " ", "...", "a.", "\x1c\x85\xa0", "#a. b##\n", "end", "\n.x", "x<|y. <|Z."]
+    for order in (texts, texts[::-1], [""], ["."], []):
+        found = packing.WordEncoder(tokenizer_file()).encode(order)
+        want = [tokenizer.encode(text, add_special_tokens=False).ids for text in order]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == want
+
+
+@pytest.mark.parametrize("size", [1, 9, 1 << 21])
+def test_slices_hold_every_row_once(monkeypatch, size):
+    monkeypatch.setattr(packing, "BYTES_AT_ONCE", size)
+    rows_in = [None, "", "abc", "d" * 30, None, "e", "é" * 8, ""]
+    for values in (rows_in, [], [None]):
+        batch = pa.RecordBatch.from_pydict({"text": pa.array(values, pa.string())})
+        assert [v for part in packing._slices(batch) for v in part["text"].to_pylist()] == values
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_places_all_once_and_tightly(seed):
     rng = random.Random(seed)

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from itemlab.functions import scalars
-from itemlab.functions.hashing import word_histogram
+from itemlab.functions.hashing import tokens, word_histogram
 from itemlab.operators import learning, quality
 
 
@@ -69,3 +69,12 @@ def test_unreadable_rows_stay_in_the_batch(spark):
     summary = learning.batch_summary(scored).first()
     assert (summary.items, summary.positive + summary.other) == (61, 61)
     assert summary.positive == scored.where("p >= 0.5").count()
+
+
+def test_words_and_buckets_need_no_function_for_a_comparison(spark):
+    """The histogram sorts numbers as they are; words are split at blanks and line ends alone."""
+    rows = spark.createDataFrame([(1, "a  b\n\nc \n a\td"), (2, " \n "), (3, ""), (4, None)], "id int, text string")
+    words = rows.select("id", tokens(F.col("text")).alias("w"))
+    assert {r.id: r.w for r in words.collect()} == {1: ["a", "b", "c", "a\td"], 2: [], 3: [], 4: None}
+    plan = words.select(word_histogram(F.col("w")).alias("h"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" in plan and "array_sort" not in plan
